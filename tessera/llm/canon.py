@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.filters import maybe_in
+from tessera.session import cut
 
 LEAST = 200
 
@@ -103,9 +104,11 @@ def look_alike_classes(df: DataFrame, keys: list[str], text: str = "text", least
     fewer than ``least`` code points as delivered take no part. Repeated rows count once.
     """
     rows = df.select(*keys, F.col(text).alias("__text")).filter(F.length("__text") >= least)
-    keyed = rows.select(*keys, "__text", rough(F.col("__text")).alias("__rough"), F.xxhash64("__text").alias("raw"))
-    several = keyed.groupBy("__rough").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).filter("a <> b").select("__rough")
-    near = maybe_in(keyed, F.col("__rough"), several, "__rough").join(several, "__rough", "left_semi").dropDuplicates(keys)
+    # one pass over the texts for their hashes, written once, so that the mapping isn't worked out again for each use
+    hashed = cut(rows.select(*keys, rough(F.col("__text")).alias("__rough"), F.xxhash64("__text").alias("raw")).distinct())
+    several = hashed.groupBy("__rough").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).filter("a <> b").select("__rough")
+    wanted = cut(hashed.join(several, "__rough", "left_semi").select(*keys, "raw"))
+    near = maybe_in(rows, F.xxhash64(*keys), wanted.select(F.xxhash64(*keys).alias("__key")), "__key").join(wanted, keys).dropDuplicates(keys)
     texts = near.groupBy("raw").agg(F.max("__text").alias("__text")).withColumn("__value", F.collate(mapped(F.col("__text")), "UNICODE"))
     chosen = texts.groupBy("__value").agg(F.min(F.collate("__value", "UTF8_BINARY")).alias("form"), F.count("*").alias("n")).filter("n > 1").drop("n")
     back = texts.join(chosen, "__value").select("raw", "__text", "form")
@@ -116,7 +119,7 @@ def look_alike_classes(df: DataFrame, keys: list[str], text: str = "text", least
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(forms, pa.string())], names=["raw", "form", "exact"])
 
     divided = back.mapInArrow(exact, "raw bigint, form string, exact string").select("raw", "form", F.sha2("exact", 256).alias("class_id"))
-    return near.select(*keys, "raw").join(divided, "raw").select(*keys, "class_id", "form", "raw")
+    return wanted.join(divided, "raw").select(*keys, "class_id", "form", "raw")
 
 
 def canonical_texts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
