@@ -45,7 +45,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, band keys) of each set of hashes; every set must have a member."""
+    """(fingerprint, 32-bit band keys) of each set of hashes; every set must have a member."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     n = len(bounds) - 1
     least = np.empty((n, len(_A)), np.uint32)
@@ -56,7 +56,7 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
     for r in range(ROWS):
         keys = _mixed(keys * _FULL + least[:, r::ROWS])
-    return prints.view(np.int64), keys.view(np.int64)
+    return prints.view(np.int64), (keys >> np.uint64(32)).astype(np.uint32)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -157,17 +157,18 @@ def fingerprints(df: DataFrame, gram: int, least: int) -> DataFrame:
 def _candidates(prints: DataFrame, radius: int, hot: int) -> DataFrame:
     """(g, fa, fb), fa < fb: different fingerprints within the radius that share a band."""
     spark = prints.sparkSession
-    salted = prints.select(F.xxhash64("g").alias("s"), "f", "bands")
+    salted = cut(prints.select(F.xxhash64("g").alias("s"), "f", "bands"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in batches:
             for lo in range(0, b.num_rows, 4000):
                 part = b.slice(lo, 4000)
                 if part.num_rows:
-                    keys = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int64).reshape(part.num_rows, BANDS)
-                    s = part.column(0).to_numpy(zero_copy_only=False)
-                    # a key is made for each group, so groups never meet
-                    yield _mixed((keys ^ s[:, None]).view(np.uint64)).view(np.int64).ravel(), np.repeat(part.column(1).to_numpy(zero_copy_only=False), BANDS)
+                    keys = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint32).reshape(part.num_rows, BANDS).astype(np.uint64)
+                    keys += np.arange(BANDS, dtype=np.uint64) << np.uint64(32)
+                    s = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                    # a key is made for each group and band, so they never meet
+                    yield _mixed(keys ^ s[:, None]).view(np.int64).ravel(), np.repeat(part.column(1).to_numpy(zero_copy_only=False), BANDS)
 
     parts = max(1, salted.rdd.getNumPartitions())
 
