@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.session import cut
 
 #: Vectors of a cell at most, by estimate; rows of the sample for the cells' medians; trees, leaf size, leaves from the queue.
-CELL, SAMPLE, TREES, LEAF, PROBES = 40_000, 65_536, 8, 96, 12
+CELL, SAMPLE, TREES, LEAF, PROBES = 65_536, 65_536, 8, 96, 12
 #: Half-width of the margin in standard deviations of a close pair's projected difference.
 MARGIN = 0.85
 
@@ -122,7 +122,7 @@ def search(x: np.ndarray, k: int, least: float, trees: int = TREES, leaf: int =
     both = np.unique(np.concatenate([a * n + b, b * n + a]))  # a pair met from one side counts for the other too
     a, b = both // n, both % n
     exact = np.concatenate([np.einsum("ij,ij->i", x[a[lo : lo + 100_000]].astype(np.float64), x[b[lo : lo + 100_000]].astype(np.float64)) for lo in range(0, len(a), 100_000)]) if len(a) else np.zeros(0)
-    exact = np.round(exact, 6)
+    exact = np.round(exact, 7)
     ok = exact >= least
     a, b, exact = a[ok], b[ok], exact[ok]
     order = np.lexsort((b, -exact, a))
@@ -147,7 +147,7 @@ def nearest(
     """(a, b, cosine): b is among the k most similar other items of a in its group, and their cosine is at least ``least``.
 
     Only vectors of ``dim`` values, none of them null or NaN, that aren't all zero take part; rows with a null item or group neither.
-    Repeated rows count once. Cosines are rounded to 6 places; of equal ones the smaller id comes first, so an item whose
+    Repeated rows count once. Cosines are rounded to 7 places; of equal ones the smaller id comes first, so an item whose
     vector many others share still has at most k partners. An item may have less than k partners. ``least`` is
     also what the margins are laid out for: with a lower value more vectors lie in several cells.
     The sample fixes only where planes cut; every vector is indexed and every vector is a query.
