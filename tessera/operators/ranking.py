@@ -18,12 +18,14 @@ def rank_in_groups(df: DataFrame, group: list[str], value: str, name: str, ties:
     ``hot_rows`` rows is cut at quantiles of the value into slices that are ranked apart, and each slice is moved up by the
     rows in the slices before it; so no task sorts a hot group alone. Values must not be null.
     """
-    quantiles = F.percentile_approx(value, F.array(*(F.lit(i / SLICES) for i in range(1, SLICES))), 1000)
-    hot = cut(df.groupBy(*group).agg(F.count("*").alias("__n"), quantiles.alias("__q")).filter(F.col("__n") > hot_rows).select(*group, "__q"))
+    large = cut(df.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows).select(*group))
     order = [F.col(value).desc(), *(F.col(c).asc() for c in ties or [])]
     number = F.row_number() if ties else F.rank()
-    if hot.isEmpty():
+    if large.isEmpty():
         return df.withColumn(name, number.over(Window.partitionBy(*group).orderBy(*order)))
+    # only the hot groups' rows are sketched; a sketch has a bounded size and merges across tasks
+    quantiles = F.percentile_approx(value, F.array(*(F.lit(i / SLICES) for i in range(1, SLICES))), 1000)
+    hot = cut(df.join(large, group, "left_semi").groupBy(*group).agg(quantiles.alias("__q")))
     sliced = df.join(hot, group, "left").withColumn("__slice", F.coalesce(F.size(F.filter("__q", lambda q: q > F.col(value))), F.lit(-1))).drop("__q")
     before = (
         sliced.groupBy(*group, "__slice").agg(F.count("*").alias("__n"))
