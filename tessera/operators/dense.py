@@ -105,3 +105,8 @@ def hashing_embedder(text: Column, dim: int = 64) -> Column:
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+")
     add = lambda v, w: F.transform(v, lambda x, i: F.when(i == F.pmod(F.xxhash64(w), F.lit(dim)), x + F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(x))
     return F.aggregate(F.filter(words, lambda w: w != ""), F.array_repeat(F.lit(0.0), dim), add)
+
+
+def canary(vector: Column, reference: list[float], least: float = 0.99) -> Column:
+    """Whether a freshly made vector still agrees with a stored one; a changed model shows here first."""
+    return cosine(vector, F.array(*map(F.lit, reference))) > least

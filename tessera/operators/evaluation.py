@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.fusion import _decide, features, first_docs, ranked_hits
+from tessera.operators.ranking import rank_in_groups
 
 SEED, ITERATIONS = 20240901, 1000
 
@@ -51,10 +52,13 @@ def answerable(qrels: DataFrame) -> DataFrame:
 
 def percentile(df: DataFrame, by: list[str], value: str, share: float, name: str) -> DataFrame:
     """The value at index min(n - 1, floor(share * n)) of the sorted ones; never between two values. Nulls don't count."""
-    rows = df.filter(F.col(value).isNotNull())
-    n = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    at = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(value))).join(n, by)
-    return at.filter(F.col("r") == F.least(F.col("n"), F.floor(F.lit(share) * F.col("n")) + 1)).select(*by, F.col(value).alias(name))
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias(name))
+    n = rows.groupBy(*by, name).agg(F.count("*").alias("__c")).withColumn("__low", -F.col(name))  # equal values are one row
+    sized = n.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    # a value's last place is the number of rows at or below it
+    placed = rank_in_groups(n.select(*by, name, "__low", F.explode(F.array_repeat(F.lit(1), F.col("__c").cast("int")))), by, "__low", "__first").groupBy(*by, name).agg(F.min("__first").alias("__first"), F.count("*").alias("__c"))
+    want = F.least(F.col("__n"), F.floor(F.lit(share) * F.col("__n")) + 1)
+    return placed.join(sized, by).filter((F.col("__first") <= want) & (want < F.col("__first") + F.col("__c"))).select(*by, name)
 
 
 def resample_index(iteration: Column, draw: Column, n: Column) -> Column:
@@ -153,6 +157,19 @@ def best_threshold(swept: DataFrame, accuracy: float = 0.90, false_abstain: floa
     return fit.orderBy(F.desc("refusal"), "false_abstain", F.desc("coverage"), "amb", F.desc("tau"), F.desc("accuracy")).limit(1)
 
 
+def rewrite_verdict(records: DataFrame, tau: Column) -> DataFrame:
+    """Adds ``verdict`` to records (conf, conf2, ndcg, ndcg2, answerable): what a rewritten query did to the gate and the ranking."""
+    crossed = (F.col("conf") < tau) & (F.col("conf2") >= tau)
+    return records.withColumn("verdict", F.when(crossed & ~F.col("answerable"), "HARMFUL").when(crossed & (F.coalesce("ndcg2", F.lit(0.0)) > 0), "rescued").when(F.col("ndcg2") > F.col("ndcg") + 1e-9, "improved").otherwise("no change"))
+
+
+def guard_sweep(judged: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6, 0.7, 0.75, 0.8)) -> DataFrame:
+    """(threshold, blocked, lost, survivors) over records with verdict and sim: harmful rewrites that a guard on similarity blocks, good ones it loses."""
+    grid = judged.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    harmful, below = F.col("verdict") == "HARMFUL", F.col("sim") < F.col("threshold")
+    return grid.groupBy("threshold").agg(F.count_if(harmful & below).alias("blocked"), F.count_if(F.col("verdict").isin("rescued", "improved") & below).alias("lost"), F.count_if(harmful & ~below).alias("survivors"))
+
+
 def agreement(a: DataFrame, b: DataFrame, by: str) -> pd.DataFrame | DataFrame:
     """(pairs, same_top, same_status) of two systems' results (by, top, status)."""
     both = a.select(by, F.col("top").alias("ta"), F.col("status").alias("sa")).join(b.select(by, F.col("top").alias("tb"), F.col("status").alias("sb")), by)

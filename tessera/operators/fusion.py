@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import rank_in_groups
+
 RRF_K, TEMPERATURE = 60, 4.0
 TAU, BAND, SPREAD, LEAST_DOCS, REVIEW = 0.20, 0.15, 0.05, 3, 0.15
 
@@ -21,8 +23,7 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], by: str, item: str = "chun
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    fused = both.groupBy(by, item).agg(F.round(F.sum("part"), 9).alias("score"))
-    return fused.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), item)))
+    return rank_in_groups(both.groupBy(by, item).agg(F.round(F.sum("part"), 9).alias("score")), [by], "score", "rank", ties=[item])
 
 
 def distinct_hits(hits: DataFrame) -> DataFrame:
@@ -32,7 +33,8 @@ def distinct_hits(hits: DataFrame) -> DataFrame:
 
 def ranked_hits(hits: DataFrame, by: str = "search_id") -> DataFrame:
     """Hits with their rank in the search by score; nulls last, equal scores by chunk."""
-    return distinct_hits(hits).withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc_nulls_last("score"), "chunk_id")))
+    rows = distinct_hits(hits).withColumn("__score", F.coalesce("score", F.lit(float("-inf"))))
+    return rank_in_groups(rows, [by], "__score", "rank", ties=["chunk_id"]).drop("__score")
 
 
 def confidence(logit: Column, temperature: float = TEMPERATURE) -> Column:
@@ -73,8 +75,8 @@ def hydrate(ranked: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 def first_docs(ranked: DataFrame, by: list[str]) -> DataFrame:
     """(by, doc_id, rank): each document once, at its best place."""
-    best = ranked.groupBy(*by, "doc_id").agg(F.min("rank").alias("first"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("first"))).drop("first")
+    best = ranked.groupBy(*by, "doc_id").agg((-F.min("rank")).alias("__first"))
+    return rank_in_groups(best, by, "__first", "rank", ties=["doc_id"]).drop("__first")
 
 
 def gate(reranked: DataFrame, searches: DataFrame, tau: Column | float = TAU, ambiguity: Column | bool = False, by: str = "search_id") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import rank_in_groups
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, update: list[str], insert_only: list[str]) -> DataFrame:
     """Rows of ``old`` with ``update`` taken from ``new`` where the key is in both, and the new keys with all columns."""
@@ -15,10 +17,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str, update: list[str], insert_o
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *kept, *taken)
 
 
-def suffix_duplicates(df: DataFrame, key: str, order: list[str], name: str = "unique_key") -> DataFrame:
-    """Adds ``name``: the key, with ~1, ~2 and so on for its repeats in order."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return df.withColumn(name, F.when(n > 0, F.concat(F.col(key), F.lit("~"), n)).otherwise(F.col(key)))
+def suffix_duplicates(df: DataFrame, key: str, order: str, name: str = "unique_key") -> DataFrame:
+    """Adds ``name``: the key, with ~1, ~2 and so on for its repeats in the order of a unique number. Null keys stay null."""
+    numbered = rank_in_groups(df.withColumn("__at", -F.col(order)), [key], "__at", "__n", ties=[order])
+    return numbered.withColumn(name, F.when(F.col("__n") > 1, F.concat(F.col(key), F.lit("~"), F.col("__n") - 1)).otherwise(F.col(key))).drop("__at", "__n")
 
 
 def replace_strategy(spark_path_df: DataFrame, path: str) -> None:

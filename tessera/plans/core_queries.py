@@ -269,6 +269,27 @@ def system_agreement(s, d):
     return evaluation.agreement(_system(s, d, "bm25"), _system(s, d, "hybrid"), "query_id")
 
 
+def _rewrites(s, d):
+    """The first and the last search of each query, as if the last were a rewrite of the first."""
+    hits = table(s, d, "hits")
+    ends = hits.groupBy("query_id").agg(F.min("search_id").alias("a"), F.max("search_id").alias("b")).filter("a < b")
+    ranked = fusion.rerank(hits)
+    tops = ranked.filter("final_rank = 1").join(_judged(s, d).select("query_id", "doc_id", "grade"), ["query_id", "doc_id"], "left").select("search_id", "confidence", F.when(F.col("grade") > 0, 1.0).otherwise(0.0).alias("good"))
+    a, b = tops.toDF("a", "conf", "ndcg"), tops.toDF("b", "conf2", "ndcg2")
+    both = ends.join(a, "a").join(b, "b").join(evaluation.answerable(_judged(s, d)), "query_id")
+    return evaluation.rewrite_verdict(both.withColumn("sim", F.round(1 - F.abs(F.col("conf") - F.col("conf2")), 6)), F.lit(0.8))
+
+
+@query
+def rewrite_verdict(s, d):
+    return _rewrites(s, d).select("query_id", "conf", "conf2", "verdict")
+
+
+@query
+def guard_sweep(s, d):
+    return evaluation.guard_sweep(_rewrites(s, d))
+
+
 # --- chunks
 
 
@@ -411,7 +432,7 @@ def qrels_status(s, d):
 
 @query
 def dup_id_suffix(s, d):
-    return tables.suffix_duplicates(table(s, d, "documents"), "doc_key", ["doc_id"]).select("doc_id", "unique_key")
+    return tables.suffix_duplicates(table(s, d, "documents"), "doc_key", "doc_id").select("doc_id", "unique_key")
 
 
 @query

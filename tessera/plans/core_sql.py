@@ -93,7 +93,15 @@ def _system(config: str) -> str:
  row_number() OVER (PARTITION BY fin.query_id ORDER BY fin.search_id DESC) AS r FROM fin WHERE final_rank = 1 AND config_name = '{config}') WHERE r = 1)"""
 
 
+_REWRITES = _RERANK + ", " + _QRELS + """, e AS (SELECT query_id, min(search_id) AS a, max(search_id) AS b FROM hits GROUP BY query_id HAVING min(search_id) < max(search_id)),
+ t AS (SELECT search_id, confidence AS c, CASE WHEN j.grade > 0 THEN 1.0 ELSE 0.0 END AS g FROM fin LEFT JOIN j USING (query_id, doc_id) WHERE final_rank = 1),
+ rw AS (SELECT e.query_id, x.c AS conf, y.c AS conf2, round(1 - abs(x.c - y.c), 6) AS sim, CASE WHEN x.c < 0.8 AND y.c >= 0.8 AND NOT k.answerable THEN 'HARMFUL' WHEN x.c < 0.8 AND y.c >= 0.8 AND y.g > 0 THEN 'rescued'
+  WHEN y.g > x.g + 1e-9 THEN 'improved' ELSE 'no change' END AS verdict FROM e JOIN t x ON x.search_id = a JOIN t y ON y.search_id = b JOIN (SELECT query_id, max(grade) > 0 AS answerable FROM j GROUP BY ALL) k ON k.query_id = e.query_id)"""
+
 SQL: dict[str, str] = {
+    "rewrite_verdict": f"WITH {_REWRITES} SELECT query_id, conf, conf2, verdict FROM rw",
+    "guard_sweep": f"""WITH {_REWRITES} SELECT threshold::DOUBLE AS threshold, count(*) FILTER (verdict = 'HARMFUL' AND sim < threshold) AS blocked, count(*) FILTER (verdict IN ('rescued', 'improved') AND sim < threshold) AS lost,
+ count(*) FILTER (verdict = 'HARMFUL' AND sim >= threshold) AS survivors FROM rw, (SELECT unnest([0.5, 0.6, 0.7, 0.75, 0.8]) AS threshold) GROUP BY threshold""",
     "tokenize_terms": f"""WITH {_TERMS} SELECT query_id, array_to_string(t, ' ') AS terms, array_to_string(list_transform(t, lambda x: '"' || x || '"'), ' OR ') AS expression FROM terms""",
     "term_stats": f"""WITH w AS (SELECT strategy, chunk_id, unnest({_TOK % "text"}) AS term FROM (SELECT DISTINCT strategy, chunk_id, text FROM chunks)),
  t AS (SELECT strategy, chunk_id, term, count(*) AS n FROM w GROUP BY ALL) SELECT strategy, term, count(*) AS df, sum(n)::BIGINT AS tf FROM t GROUP BY ALL""",
