@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stem import stem
+from tessera.session import spread
 
 K1, B = 1.2, 0.75
 # The token pattern and the stop words.
@@ -58,7 +59,7 @@ def bm25_plain(chunks: DataFrame, queries: DataFrame, k: int = 10, strategy: str
     Each different query term counts once. Queries without terms and chunks without text have no rows. Only tokens that some query
     has are shuffled. Scores are rounded to 6 places and equal ones are ordered by chunk.
     """
-    rows = chunks.filter(F.col("strategy") == strategy).groupBy("chunk_id").agg(F.max("text").alias("text")).select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = spread(chunks.filter(F.col("strategy") == strategy)).groupBy("chunk_id").agg(F.max("text").alias("text")).select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
     sized = rows.select("chunk_id", "t", F.size("t").alias("dl"))
     corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("query")))).alias("term"))

@@ -37,3 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, before work that costs far more than moving its rows.
+
+    Only a plan without any exchange and with fewer partitions than cores is repartitioned, such as a table in one small file; a
+    table of many files is left where it is, so nothing large is ever shuffled for this.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if "Exchange" in plan or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
