@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.filters import maybe_in
-from tessera.session import cut
+from tessera.session import cut, spread
 
 LEAST = 200
 
@@ -104,6 +104,7 @@ def look_alike_classes(df: DataFrame, keys: list[str], text: str = "text", least
     fewer than ``least`` code points as delivered take no part. Repeated rows count once.
     """
     rows = df.select(*keys, F.col(text).alias("__text")).filter(F.length("__text") >= least)
+    rows = spread(rows)
     # one pass over the texts for their hashes, written once, so that the mapping isn't worked out again for each use
     hashed = cut(rows.select(*keys, rough(F.col("__text")).alias("__rough"), F.xxhash64("__text").alias("raw")).distinct())
     several = hashed.groupBy("__rough").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).filter("a <> b").select("__rough")
@@ -129,4 +130,4 @@ def canonical_texts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t if t is None else canonical(t) for t in b.column(1).to_pylist()], pa.string())], names=[key, "form"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, form string")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, form string")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 #: Folder with the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
 #: Splitting pattern of the byte-level BPE with 50,257 ids; a fixed value.
@@ -143,4 +145,4 @@ def token_ids(df: DataFrame, key: str, text: str = "text", tokenizer: str = "byt
                 at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=[key, "ids"])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(rows).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import words
+from tessera.session import spread
 
 RUN, BLOCK, K1, B = 13, 8, 1.2, 0.75
 MAX_ITEMS = 5_000
@@ -102,7 +103,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     count once. Columns other than the named ones are never read, so clashing names don't matter.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_key), F.col(text).alias("__text"))
+    rows = spread(docs.select(F.col(doc_key), F.col(text).alias("__text")))
     kinds = [rows.schema[0].dataType.simpleString(), items.schema[item_key].dataType.simpleString()]
     schema = f"`{doc_key}` {kinds[0]}, `{item_key}` {kinds[1]}"
     out = None

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.repeat import _distinct
 from tessera.llm.words import Ids, flat_ids, grams, words
 from tessera.operators.filters import maybe_in
-from tessera.session import cut
+from tessera.session import cut, spread
 
 BANDS, ROWS, RADIUS = 32, 4, 23
 #: Fingerprints of a shard that one task takes at most; beyond, it is cut into blocks.
@@ -151,7 +151,7 @@ def fingerprints(df: DataFrame, gram: int, least: int) -> DataFrame:
                 packed = pa.array([k.tobytes() for k in keys], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array(t), pa.array(prints), packed], names=["g", "id", "t", "f", "bands"])
 
-    return df.mapInArrow(run, f"g string, id {df.schema['id'].dataType.simpleString()}, t bigint, f bigint, bands binary")
+    return spread(df).mapInArrow(run, f"g string, id {df.schema['id'].dataType.simpleString()}, t bigint, f bigint, bands binary")
 
 
 def _candidates(prints: DataFrame, radius: int, hot: int) -> DataFrame:

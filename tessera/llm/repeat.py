@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import Ids, flat_ids, grams
-from tessera.session import cut
+from tessera.session import cut, spread
 
 GRAM, LEAST_WORDS, LEAST_SHARE = 5, 50, 0.3
 #: Rows at most that the trees are fitted on: those with the smallest hashes of the key.
@@ -68,7 +68,7 @@ def statistics(df: DataFrame, key: str, text: str = "text") -> DataFrame:
                     names=[key, "words", "positions", "repeated", "word_share", "sentence_share", "paragraph_share"],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def matrix(words: np.ndarray, positions: np.ndarray, repeated: np.ndarray, *shares: np.ndarray) -> np.ndarray:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 LIMIT, OVERLAP = 1400, 200
 #: Penalty of each kind of boundary: paragraph, sentence, blank, none. A step is larger than any imbalance.
 PENALTY = (0.0, 1.0, 2.0, 3.0)
@@ -134,4 +136,4 @@ def split_oversized(
             at = np.array(spans, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at[:, 0]), pa.array(at[:, 1])], names=[*taken.schema.names, "char_start", "char_end"])
 
-    return long.mapInArrow(run, schema)
+    return spread(long).mapInArrow(run, schema)
