@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -66,22 +67,38 @@ def resample_index(iteration: Column, draw: Column, n: Column) -> Column:
     return ((((iteration * 1000003 + draw * 7919 + SEED) % 2147483647) * 48271) % 2147483647) % n
 
 
-def bootstrap(values: DataFrame, by: str, item: str, value: str, iterations: int = 200) -> DataFrame:
-    """(by, mean, lo, hi, p_better): 95 % interval of the mean by resampling, on arithmetic places; p_better: share of means over 0.
+def hashed_index(iteration: Column, draw: Column, n: Column) -> Column:
+    """A place from 0 to n - 1 by the first 15 hexadecimal digits of md5('seed:iteration:draw'), so that places are drawn with replacement."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(SEED)), iteration.cast("string"), draw.cast("string"))), 1, 15)
+    return F.conv(digits, 16, 10).cast("bigint") % n
 
+
+def bootstrap(values: DataFrame, by: str, item: str, value: str, iterations: int = ITERATIONS, places: Callable[[Column, Column, Column], Column] = hashed_index) -> DataFrame:
+    """(by, mean, lo, hi, p_better): 95 % interval of the mean by resampling; p_better: share of means over 0.
+
+    ``places`` gives the place of each (iteration, draw). ``hashed_index`` draws with replacement; the places of ``resample_index`` form
+    a lattice whose intervals are too narrow, and only the queries whose SQL states it use it.
     Draws are aggregated as they are made; a group's rows are its queries, whose number is bounded.
     """
     rows = values.filter(F.col(value).isNotNull()).select(by, item, F.col(value).alias("v"))
     n = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg("v").alias("m"))
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(item)) - 1)
     draws = n.filter("n > 1").select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i")).select(by, "n", "i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("d"))
-    drawn = draws.select(by, "i", resample_index(F.col("i").cast("bigint"), F.col("d").cast("bigint"), F.col("n")).cast("int").alias("place")).join(placed, [by, "place"])
+    drawn = draws.select(by, "i", places(F.col("i").cast("bigint"), F.col("d").cast("bigint"), F.col("n")).cast("int").alias("place")).join(placed, [by, "place"])
     means = drawn.groupBy(by, "i").agg(F.round(F.avg("v"), 9).alias("mean"))
     sorted_ = means.groupBy(by).agg(F.sort_array(F.collect_list("mean")).alias("s"), F.avg(F.when(F.col("mean") > 0, 1.0).otherwise(0.0)).alias("p"))
     low, high = int(0.025 * iterations), min(iterations - 1, int(0.975 * iterations))
     return n.join(sorted_, by, "left").select(by, F.round("m", 6).alias("mean"), F.round(F.coalesce(F.get("s", F.lit(low)), F.col("m")), 6).alias("lo"), F.round(F.coalesce(F.get("s", F.lit(high)), F.col("m")), 6).alias("hi"), F.round("p", 6).alias("p_better"))
 
 
+def paired(deltas: DataFrame, by: str, item: str, value: str, iterations: int = ITERATIONS) -> DataFrame:
+    """(by, mean, lo, hi, p_better, significant) of differences between pairs; NaN, and not significant, for less than two pairs."""
+    got = bootstrap(deltas, by, item, value, iterations)
+    known = F.col("p_better").isNotNull()
+    got = got.select(by, *(F.when(known, F.col(c)).otherwise(F.lit(math.nan)).alias(c) for c in ("mean", "lo", "hi", "p_better")))
+    return got.withColumn("significant", significant(F.col("lo"), F.col("hi")))
+
+
 def bootstrap_exact(values: list[float], iterations: int = ITERATIONS, level: float = 0.95, seed: int = SEED) -> tuple[float, float, float]:
     """(mean, lo, hi) with the Mersenne Twister's places, for a list of one value per query on the driver."""
     if not values:

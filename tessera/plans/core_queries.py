@@ -209,18 +209,33 @@ def latency_percentile(s, d):
 
 @query
 def bootstrap_ci(s, d):
-    return evaluation.bootstrap(_metrics(s, d), "config_name", "query_id", "ndcg")
+    """200 iterations on arithmetic places, as its SQL states; bootstrap_ci_resampled is the reference's interval."""
+    return evaluation.bootstrap(_metrics(s, d), "config_name", "query_id", "ndcg", 200, evaluation.resample_index)
 
 
 @query
-def paired_bootstrap(s, d):
+def bootstrap_ci_resampled(s, d):
+    return evaluation.bootstrap(_metrics(s, d), "config_name", "query_id", "ndcg")
+
+
+def _deltas(s, d):
     m = _metrics(s, d).select("config_name", "query_id", "ndcg")
     base = m.filter("config_name = 'bm25'").select("query_id", F.col("ndcg").alias("base"))
-    pairs = m.filter("config_name <> 'bm25'").join(base, "query_id").select("config_name", "query_id", (F.col("ndcg") - F.col("base")).alias("delta"))
-    got = evaluation.bootstrap(pairs, "config_name", "query_id", "delta")
+    return m.filter("config_name <> 'bm25'").join(base, "query_id").select("config_name", "query_id", (F.col("ndcg") - F.col("base")).alias("delta"))
+
+
+@query
+def paired_bootstrap(s, d):
+    """200 iterations on arithmetic places, as its SQL states; paired_bootstrap_resampled is the reference's interval."""
+    got = evaluation.bootstrap(_deltas(s, d), "config_name", "query_id", "delta", 200, evaluation.resample_index)
     return got.withColumn("significant", evaluation.significant(F.col("lo"), F.col("hi")))
 
 
+@query
+def paired_bootstrap_resampled(s, d):
+    return evaluation.paired(_deltas(s, d), "config_name", "query_id", "delta")
+
+
 @query
 def incremental_delta(s, d):
     return evaluation.incremental(_metrics(s, d), CONFIGS)

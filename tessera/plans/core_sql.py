@@ -198,3 +198,20 @@ SQL: dict[str, str] = {
  t AS (SELECT doc_id, i, s, p, regexp_replace(p, '^[\s\x{A0}\x{2002}\x{2007}\x{2009}\x{202F}\x{85}]+', '') AS l FROM b), u AS (SELECT *, regexp_replace(l, '[\s\x{A0}\x{2002}\x{2007}\x{2009}\x{202F}\x{85}]+$', '') AS k FROM t)
  SELECT doc_id, i::INT AS ordinal, (s + length(p) - length(l))::INT AS char_start, (s + length(p) - length(l) + length(k))::INT AS char_end FROM u WHERE length(k) >= 120 OR i = 0""",
 }
+
+
+def _resampled(sql: str) -> str:
+    """A bootstrap's SQL with 1,000 iterations and places drawn by md5."""
+    swaps = {
+        "range(200)": "range(1000)", "s[6]": "s[26]", "s[196]": "s[976]",
+        "((((i * 1000003 + d * 7919 + 20240901) % 2147483647) * 48271) % 2147483647) % n": "('0x' || substr(md5('20240901:' || i || ':' || d), 1, 15))::BIGINT % n",
+    }
+    for old, new in swaps.items():
+        sql = sql.replace(old, new)
+    return sql
+
+
+SQL["bootstrap_ci_resampled"] = _resampled(SQL["bootstrap_ci"])
+# less than two pairs have no interval
+SQL["paired_bootstrap_resampled"] = f"""SELECT config_name, {", ".join(f"CASE WHEN p_better IS NULL THEN 'nan'::DOUBLE ELSE {c} END AS {c}" for c in ("mean", "lo", "hi", "p_better"))},
+ p_better IS NOT NULL AND significant AS significant FROM ({_resampled(SQL["paired_bootstrap"])})"""

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 import sqlite3
 
 import pytest
@@ -121,6 +122,27 @@ def test_bootstrap():
     assert math.isnan(evaluation.paired_exact([1.0], [None])["delta"])
 
 
+def test_bootstrap_width(spark):
+    rng = random.Random(5)
+    values = {f"n{n}": [rng.random() for _ in range(n)] for n in (2, 40, 120, 1000)} | {"one": [0.4]}
+    df = spark.createDataFrame([(g, i, v) for g, own in values.items() for i, v in enumerate(own)], "g string, item int, v double")
+    got = {r.g: r for r in evaluation.bootstrap(df, "g", "item", "v").collect()}
+    for g in ("n40", "n120", "n1000"):
+        mean, lo, hi = evaluation.bootstrap_exact(values[g])
+        assert abs(got[g].mean - mean) < 1e-6 and 0.85 < (got[g].hi - got[g].lo) / (hi - lo) < 1.15
+    assert got["one"].lo == got["one"].hi == 0.4
+    one = {r.g: r for r in evaluation.paired(df, "g", "item", "v").collect()}
+    assert math.isnan(one["one"].lo) and not one["one"].significant and one["n40"].significant and one["n40"].lo == got["n40"].lo
+
+
+def test_bootstrap_draws(spark):
+    """Places are drawn with replacement: each iteration has about 1 - 1/e different ones."""
+    for n in (40, 120, 1000):
+        df = spark.range(50).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("d"))
+        r = df.withColumn("p", evaluation.hashed_index(F.col("i"), F.col("d"), F.lit(n))).groupBy("i").agg(F.countDistinct("p").alias("c"), F.min("p").alias("a"), F.max("p").alias("b")).agg(F.avg("c"), F.min("a"), F.max("b")).first()
+        assert abs(r[0] / n - 0.632) < 0.03 and r[1] == 0 and r[2] == n - 1
+
+
 def test_human_judgement_wins(spark):
     t = lambda h: dt.datetime(2025, 1, 1, h)
     rows = [("q", 1, 1, t(1), "human"), ("q", 1, 3, t(5), "llm"), ("q", 2, 0, t(1), "llm"), ("q", 2, 2, t(2), "pool"), ("q", 3, 1, t(1), "human"), ("q", 3, 2, t(2), "human")]
