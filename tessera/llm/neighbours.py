@@ -6,7 +6,8 @@
 3. In each cell a forest of random-projection trees with leaves of some hundred vectors is grown over all its vectors.
    A query looks into its own leaf in every tree, and then into the leaves behind the planes that it lies nearest to, taken
    from one priority queue over all trees.
-4. The vectors met in these leaves are compared exactly, and the best k per vector over all cells remain.
+4. Where more vectors crowd around a query than such leaves can hold, it is compared with its whole cell instead, in blocks.
+5. The vectors met are compared exactly, and the best k per vector over all cells remain.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tessera.session import cut
 
 #: Vectors of a cell at most, by estimate; rows of the sample for the cells' medians; trees, leaf size, leaves from the queue.
 CELL, SAMPLE, TREES, LEAF, PROBES = 65_536, 65_536, 8, 96, 12
+#: Vectors around a query from which on its leaves are not trusted; rows of the sample of a cell by which they are estimated.
+CROWD, CROWD_SAMPLE = 600, 1024
 #: Half-width of the margin in standard deviations of a close pair's projected difference.
 MARGIN = 0.85
 
@@ -57,8 +60,56 @@ class Cells:
         return rows, node
 
 
-def search(x: np.ndarray, k: int, least: float, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, cosine): for every row of the unit vectors x its best k others among those met whose cosine is at least ``least``."""
+def crowded(x: np.ndarray, least: float, crowd: int = CROWD, seed: int = 11) -> np.ndarray:
+    """Rows of x with more than about ``crowd`` others nearby: within sqrt(2) times the distance that ``least`` allows, as leaves hold these too."""
+    n = len(x)
+    if n <= crowd:
+        return np.zeros(0, np.int64)
+    sample = x[np.random.default_rng(seed).choice(n, min(n, CROWD_SAMPLE), replace=False)].T
+    near = np.concatenate([np.count_nonzero(x[lo : lo + 4096] @ sample >= 2 * least - 1, axis=1) for lo in range(0, n, 4096)])
+    return np.flatnonzero(near * (n / sample.shape[1]) > crowd)
+
+
+def against_all(x: np.ndarray, rows: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): for the given rows the best others of all of x, not below the row's bound; a few more than k, so that rounding decides nothing."""
+    pairs, want = [], min(k + 4, len(x))
+    for lo in range(0, len(rows), 128):
+        q = rows[lo : lo + 128]
+        s = x[q] @ x.T
+        low = bound[lo : lo + 128, None]
+        mask = s >= low
+        if np.count_nonzero(mask) > 64 * len(q):
+            low = np.maximum(low, np.partition(s, len(x) - want, axis=1)[:, len(x) - want, None])
+            mask = s >= low
+        at = np.flatnonzero(mask)
+        r, c = at // len(x), at % len(x)
+        order = np.lexsort((-s[r, c], r))
+        r, c = r[order], c[order]
+        keep = (np.arange(len(r)) - np.searchsorted(r, r) < want) & (q[r] != c)
+        pairs.append(np.stack([q[r][keep], c[keep]]))
+    a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    return a, b
+
+
+def _best(x: np.ndarray, pairs: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine): of the given pairs a * len(x) + b the best k of each a whose cosine is at least ``least``."""
+    a, b = pairs // len(x), pairs % len(x)
+    exact = np.concatenate([np.einsum("ij,ij->i", x[a[lo : lo + 100_000]].astype(np.float64), x[b[lo : lo + 100_000]].astype(np.float64)) for lo in range(0, len(a), 100_000)]) if len(a) else np.zeros(0)
+    exact = np.round(exact, 7)
+    ok = exact >= least
+    a, b, exact = a[ok], b[ok], exact[ok]
+    order = np.lexsort((b, -exact, a))
+    a, b, exact = a[order], b[order], exact[order]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1]) if len(a) else np.zeros(0, np.int64)
+    place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+    return a[place < k], b[place < k], exact[place < k]
+
+
+def search(x: np.ndarray, k: int, least: float, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, seed: int = 7, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine): for every row of the unit vectors x its best k others among those met whose cosine is at least ``least``.
+
+    Rows that ``crowded`` finds meet all others; the leaves only give them a bound.
+    """
     n, dim = x.shape
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -118,18 +169,19 @@ def search(x: np.ndarray, k: int, least: float, trees: int = TREES, leaf: int =
             keep = q[r] != m[c]
             pairs.append(q[r][keep] * n + m[c][keep])
     found = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-    a, b = found // n, found % n
-    both = np.unique(np.concatenate([a * n + b, b * n + a]))  # a pair met from one side counts for the other too
-    a, b = both // n, both % n
-    exact = np.concatenate([np.einsum("ij,ij->i", x[a[lo : lo + 100_000]].astype(np.float64), x[b[lo : lo + 100_000]].astype(np.float64)) for lo in range(0, len(a), 100_000)]) if len(a) else np.zeros(0)
-    exact = np.round(exact, 7)
-    ok = exact >= least
-    a, b, exact = a[ok], b[ok], exact[ok]
-    order = np.lexsort((b, -exact, a))
-    a, b, exact = a[order], b[order], exact[order]
-    first = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1]) if len(a) else np.zeros(0, np.int64)
-    place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-    return a[place < k], b[place < k], exact[place < k]
+    both = np.unique(np.concatenate([found, found % n * n + found // n]))  # a pair met from one side counts for the other too
+    del pairs, found
+    a, b, exact = _best(x, both, k, least)
+    del both
+    rows = crowded(x, least, crowd) if depth else np.zeros(0, np.int64)
+    if len(rows):
+        bound = np.full(n, least, np.float32)
+        full = np.flatnonzero(np.bincount(a, minlength=n) == k)
+        bound[full] = exact[np.searchsorted(a, full, side="right") - 1]
+        own, other = against_all(x, rows, bound[rows] - 1e-5, k)
+        kept = ~np.isin(a, rows)
+        a, b, exact = _best(x, np.concatenate([a[kept] * n + b[kept], own * n + other]), k, least)
+    return a, b, exact
 
 
 def _behind(p: np.ndarray, paths: np.ndarray, thresholds: list, tree: np.ndarray, at: np.ndarray) -> np.ndarray:

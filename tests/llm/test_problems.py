@@ -153,6 +153,38 @@ def test_forest_recall():
     assert len(want) > 1000 and len(want & set(zip(a.tolist(), b.tolist()))) >= 0.95 * len(want)
 
 
+def crowd(n, size, cosine, seed=5):
+    """Unit vectors of which the first ``size`` are one topic with that mutual cosine."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((n, 64)))
+    x[:size] = unit(np.sqrt(cosine) * unit(rng.standard_normal(64)) + np.sqrt(1 - cosine) * x[:size])
+    return x.astype(np.float32)
+
+
+def crowd_recall(x, size, got):
+    asked = np.random.default_rng(1).choice(size, 200, replace=False)
+    s = x[asked].astype(np.float64) @ x.T.astype(np.float64)
+    s[np.arange(200), asked] = -2
+    want = {(int(i), int(j)) for row, i in zip(s, asked) for j in np.argsort(-row)[:5] if row[j] >= 0.85}
+    assert len(want) > 900
+    return len(want & got) / len(want)
+
+
+@pytest.mark.parametrize("size,cosine", [(2000, 0.93), (8000, 0.93), (8000, 0.87), (8000, 0.78)])
+def test_crowded_topic(size, cosine):
+    x = crowd(20_000, size, cosine)
+    a, b, _ = neighbours.search(x, 5, 0.85)
+    assert crowd_recall(x, size, set(zip(a.tolist(), b.tolist()))) >= 0.95 and np.bincount(a).max() <= 5
+
+
+def test_crowded_topic_in_cells(spark):
+    x = crowd(12_000, 5000, 0.93)
+    df = spark.createDataFrame([(i, "s", "m", v.tolist()) for i, v in enumerate(x)], "chunk_id int, strategy string, model string, vec array<float>")
+    got = neighbours.nearest(df, ["strategy", "model"], cell=4000).collect()
+    assert crowd_recall(x, 5000, {(r.a, r.b) for r in got}) >= 0.9
+
+
 def test_neighbours_hostile(spark):
     one = [1.0] * 64
     rows_ = [(f"c{i:02}", "s", "m", one) for i in range(20)] * 2 + [("z", "s", "m", [0.0] * 64), ("n", "s", "m", None), ("short", "s", "m", [1.0]), ("nan", "s", "m", [float("nan")] * 64), (None, "s", "m", one), ("g", None, "m", one), ("alone", "t", "m", one)]
