@@ -268,9 +268,15 @@ def calibrate_tau(s, d):
 
 @query
 def best_tau(s, d):
+    """The best row of the sweep whatever its accuracy and false abstentions, as its SQL states; best_tau_targets asks for the reference's targets."""
     return evaluation.best_threshold(calibrate_tau(s, d), accuracy=0.0, false_abstain=1.0)
 
 
+@query
+def best_tau_targets(s, d):
+    return evaluation.best_threshold(calibrate_tau(s, d))
+
+
 def _system(s, d, config):
     hits = table(s, d, "hits").filter(F.col("config_name") == config)
     gate = fusion.gate(fusion.rerank(hits), hits)

@@ -215,3 +215,4 @@ SQL["bootstrap_ci_resampled"] = _resampled(SQL["bootstrap_ci"])
 # less than two pairs have no interval
 SQL["paired_bootstrap_resampled"] = f"""SELECT config_name, {", ".join(f"CASE WHEN p_better IS NULL THEN 'nan'::DOUBLE ELSE {c} END AS {c}" for c in ("mean", "lo", "hi", "p_better"))},
  p_better IS NOT NULL AND significant AS significant FROM ({_resampled(SQL["paired_bootstrap"])})"""
+SQL["best_tau_targets"] = SQL["best_tau"].replace("accuracy >= 0 AND false_abstain <= 1 ", "accuracy >= 0.90 AND false_abstain <= 0.05 ")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, dense, evaluation, filters, fusion, lexical, quotes, ranking, serving, snapshots, tables
+from tessera.plans.core_queries import QUERIES
 from tessera.sources import files, xml
 
 FILLER = "The operator must keep the record at the site. " * 40
@@ -143,6 +144,20 @@ def test_bootstrap_draws(spark):
         assert abs(r[0] / n - 0.632) < 0.03 and r[1] == 0 and r[2] == n - 1
 
 
+def test_best_threshold_targets(spark):
+    rows = [(0, 0.1, 1.0, 0.70, 0.00, 0.2), (0, 0.3, 0.8, 0.92, 0.04, 0.5), (0, 0.5, 0.5, 0.95, 0.20, 0.9), (1, 0.2, 0.9, None, 0.00, 1.0)]
+    swept = spark.createDataFrame(rows, "amb int, tau double, coverage double, accuracy double, false_abstain double, refusal double")
+    tau = lambda **x: [r.tau for r in evaluation.best_threshold(swept, **x).collect()]
+    assert tau() == [0.3] and tau(false_abstain=0.2) == [0.5] and tau(accuracy=0.6, false_abstain=0.0) == [0.1] and tau(accuracy=0.99) == []
+
+
+def test_best_tau_targets(spark, data):
+    """The registered query leaves out what misses the targets, where best_tau takes it."""
+    good = lambda r: r.accuracy >= 0.90 and r.false_abstain <= 0.05
+    loose, kept = (QUERIES[n](spark, data).collect() for n in ("best_tau", "best_tau_targets"))
+    assert loose and not good(loose[0]) and all(map(good, kept))
+
+
 def test_human_judgement_wins(spark):
     t = lambda h: dt.datetime(2025, 1, 1, h)
     rows = [("q", 1, 1, t(1), "human"), ("q", 1, 3, t(5), "llm"), ("q", 2, 0, t(1), "llm"), ("q", 2, 2, t(2), "pool"), ("q", 3, 1, t(1), "human"), ("q", 3, 2, t(2), "human")]
