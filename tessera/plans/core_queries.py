@@ -377,6 +377,22 @@ def verify_citations(s, d):
     return quotes.verify_citations(real.unionByName(wrong), sources, fuzzy=False)[1]
 
 
+@query
+def verify_citations_fuzzy(s, d):
+    """Quotes from the middle of every source, by place: as they are, with a word left out, with letters worn off, exchanged for another text; and places that aren't there."""
+    sources = _hydrated(s, d).select(F.col("search_id").alias("query_id"), F.col("rank").alias("place"), "chunk_id", "char_start", "text")
+    middle = F.substring("text", F.floor(F.length("text") / 3).cast("int") + 1, F.lit(80))
+    quote = (
+        F.when(F.col("place") % 4 == 1, middle)
+        .when(F.col("place") % 4 == 2, F.regexp_replace(middle, r"^(.{20,40}?) \w+ ", "$1 "))
+        .when(F.col("place") % 4 == 3, F.regexp_replace(middle, r"(?<=\w{5})e(?=\w)", ""))
+        .otherwise(F.reverse(middle))
+    )
+    cited = sources.select("query_id", F.col("place").cast("string").alias("source"), quote.alias("quote"))
+    outside = sources.filter("place = 1").select("query_id", F.explode(F.array(*map(F.lit, ("0", "99", "-1", "n/a")))).alias("source"), middle.alias("quote"))
+    return quotes.verify_citations(cited.unionByName(outside), sources)[1]
+
+
 @query
 def prompt_assembly(s, d):
     hits = _hydrated(s, d).join(table(s, d, "queries").select("query_id", "query"), "query_id")

@@ -202,6 +202,20 @@ def test_verify_citations(spark):
     assert tuple(counts.first()) == ("q", 1, 3)
 
 
+def test_verify_citations_fuzzy(spark, data):
+    """Altered quotes are found by the matcher only; the four places outside and other texts are dropped."""
+    got = {r.query_id: (r.verified, r.dropped) for r in QUERIES["verify_citations_fuzzy"](spark, data).collect()}
+    ranked = QUERIES["hydrate_hits"](spark, data).collect()
+    places = {}
+    for r in ranked:
+        places.setdefault(r.search_id, []).append(r["rank"])
+    assert {q: sum(c) for q, c in got.items()} == {q: len(p) + 4 * (1 in p) for q, p in places.items()}
+    altered = sum(p % 4 in (1, 2, 3) for own in places.values() for p in own)
+    whole = sum(p % 4 == 1 for own in places.values() for p in own)
+    assert 1.5 * whole < sum(v for v, _ in got.values()) <= altered
+    assert all(dropped >= 4 * (1 in places[q]) for q, (_, dropped) in got.items())
+
+
 # --- dense
 
 
