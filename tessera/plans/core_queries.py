@@ -311,6 +311,31 @@ def guard_sweep(s, d):
     return evaluation.guard_sweep(_rewrites(s, d))
 
 
+def search_ndcg(hits: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(search_id, ndcg) at 10 of every search, not only of a query's latest."""
+    runs = fusion.first_docs(fusion.ranked_hits(hits), ["search_id", "query_id"]).withColumnRenamed("search_id", "config_name")
+    return evaluation.metrics(runs, qrels).select(F.col("config_name").alias("search_id"), "ndcg")
+
+
+def rewrites(hits: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Every search of a query and the next one, as if that were its rewrite, with nDCG; ``sim``, from the confidences, stands in for the queries' similarity."""
+    tops = fusion.rerank(hits).filter("final_rank = 1").select("search_id", "confidence").join(search_ndcg(hits, qrels), "search_id", "left")
+    following = F.lead("search_id").over(Window.partitionBy("query_id").orderBy("search_id"))
+    pairs = hits.select("query_id", "search_id").distinct().withColumn("search_id2", following).filter("search_id2 IS NOT NULL")
+    both = pairs.join(tops.toDF("search_id", "conf", "ndcg"), "search_id").join(tops.toDF("search_id2", "conf2", "ndcg2"), "search_id2").join(evaluation.answerable(qrels), "query_id")
+    return evaluation.rewrite_verdict(both.withColumn("sim", F.round(1 - F.abs(F.col("conf") - F.col("conf2")), 6)), F.lit(0.8))
+
+
+@query
+def rewrite_verdict_ndcg(s, d):
+    return rewrites(table(s, d, "hits"), _judged(s, d)).select("query_id", "search_id", "search_id2", "conf", "conf2", "ndcg", "ndcg2", "verdict")
+
+
+@query
+def guard_sweep_ndcg(s, d):
+    return evaluation.guard_sweep(rewrites(table(s, d, "hits"), _judged(s, d)))
+
+
 # --- chunks
 
 

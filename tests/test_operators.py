@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, dense, evaluation, filters, fusion, lexical, quotes, ranking, serving, snapshots, tables
-from tessera.plans.core_queries import QUERIES
+from tessera.plans.core_queries import QUERIES, rewrites
 from tessera.sources import files, xml
 
 FILLER = "The operator must keep the record at the site. " * 40
@@ -158,6 +158,20 @@ def test_best_tau_targets(spark, data):
     assert loose and not good(loose[0]) and all(map(good, kept))
 
 
+def test_rewrites_by_ndcg(spark, data):
+    """Relevant hits that rise from place 5 to 2 are an improvement; searches between the first and the last count; so do relevant hits below place 1."""
+    places, logit = {1: 5, 2: 2, 3: 2, 4: 5}, {1: 0.0, 2: 0.0, 3: 20.0, 4: 20.0}
+    rows = []
+    for search, place in places.items():
+        for rank in range(1, 7):
+            doc = 100 if rank == place else 10 * search + rank
+            rows.append((search, "q", "bm25", dt.datetime(2025, 1, search), f"c{doc}", doc, 10.0 - rank, None, logit[search] - rank / 10, None, None))
+    hits = spark.createDataFrame(rows, spark.read.parquet(f"{data}/hits.parquet").schema)
+    qrels = spark.createDataFrame([("q", 100, 2)], "query_id string, doc_id bigint, grade int")
+    got = {(r.search_id, r.search_id2): r.verdict for r in rewrites(hits, qrels).collect()}
+    assert got == {(1, 2): "improved", (2, 3): "rescued", (3, 4): "no change"}
+
+
 def test_human_judgement_wins(spark):
     t = lambda h: dt.datetime(2025, 1, 1, h)
     rows = [("q", 1, 1, t(1), "human"), ("q", 1, 3, t(5), "llm"), ("q", 2, 0, t(1), "llm"), ("q", 2, 2, t(2), "pool"), ("q", 3, 1, t(1), "human"), ("q", 3, 2, t(2), "human")]
