@@ -27,7 +27,8 @@ def ordinals(keys: DataFrame, key: str, known: DataFrame | None = None) -> DataF
     start = 0
     if known is not None:
         fresh = fresh.join(known, key, "left_anti")
-        start = (known.agg(F.max("ordinal")).first()[0] or -1) + 1
+        last = known.agg(F.max("ordinal")).first()[0]
+        start = 0 if last is None else last + 1
     placed = cut(fresh.repartitionByRange(key).withColumn("__part", F.spark_partition_id()))
     counts = placed.groupBy("__part").agg(F.count("*").alias("n"))
     before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n") + start).alias("__before"))  # a row per partition

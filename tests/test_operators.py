@@ -287,6 +287,16 @@ def test_ordinals_persist(spark):
     assert {r.k: r.ordinal for r in then.collect()} == {5: 0, 7: 1, 1: 2, 9: 3}
 
 
+def test_ordinals_after_one_key(spark):
+    one = snapshots.ordinals(spark.createDataFrame([(5,)], "k int"), "k")
+    then = snapshots.ordinals(spark.createDataFrame([(1,), (5,)], "k int"), "k", one)
+    assert {r.k: r.ordinal for r in then.collect()} == {5: 0, 1: 1}
+    assert [r.ordinal for r in snapshots.ordinals(spark.createDataFrame([(3,)], "k int"), "k", one.limit(0)).collect()] == [0]
+    rows = [(1, 10, "a"), (2, 10, "b"), (2, 11, "n")]
+    known = spark.createDataFrame([(10, 0)], "doc_id bigint, ordinal bigint")
+    assert sorted(tuple(r) for r in snapshots.snapshot_changes(snap(spark, rows), known=known).collect()) == [(2, 10, "changed"), (2, 11, "added")]
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([(1, "t", "a"), (2, "t", "b")], "k int, title string, text string")
     new = spark.createDataFrame([(2, "other", None), (3, "n", "c")], "k int, title string, text string")
