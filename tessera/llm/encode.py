@@ -125,6 +125,16 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's one encoder of a vocabulary, whose bounded memo outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def token_ids(df: DataFrame, key: str, text: str = "text", tokenizer: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
     """(key, ids): each row's text as token ids, without special tokens.
 
@@ -136,7 +146,7 @@ def token_ids(df: DataFrame, key: str, text: str = "text", tokenizer: str = "byt
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)

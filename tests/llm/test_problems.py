@@ -326,6 +326,23 @@ def test_encode_hostile(spark, plain_ids):
     assert e.reused > 0  # chunks are shared whatever precedes them
 
 
+def test_memo_outlives_a_task(spark):
+    """Both tasks of one Python worker use one encoder."""
+    path = f"{encode.TOKENIZERS}/byte_bpe_50k.tiktoken"
+    passage = " ".join(map(str, np.random.default_rng(0).integers(0, 10_000, 2_000)))
+    df = texts(spark, passage).coalesce(1)
+    for _ in range(12):  # more tasks than workers
+        encode.token_ids(df, "doc_id").collect()
+
+    def reused(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([encode.encoder(path).reused])], names=["n"])
+
+    assert max(r.n for r in spark.range(0, 16, 1, 16).mapInArrow(reused, "n bigint").collect()) > 0
+
+
 # --- 9 leaks
 
 
