@@ -7,9 +7,9 @@ imbalance (the share of the limit left unused). The value of a start is the leas
 
     value(s) = min over e of  penalty(kind(e)) + (limit - (e - s)) / limit + lookahead * value(e - overlap)
 
-``lookahead`` = 0 makes the order of the cuts lexicographic: the best kind, then the largest end, decides each cut, and
-the recursion has to open only the states on the chosen chain. ``lookahead`` = 1 minimises the sum over the text;
-the minimum over each window is then kept in a monotone queue, so the work stays linear in the boundaries.
+``lookahead`` = 0 makes the order of the cuts lexicographic: the best kind, then the largest end, decides each cut.
+``lookahead`` = 1 minimises the sum over the text. The minimum over each window is kept in a monotone queue, so the work is linear
+in the boundaries.
 """
 
 from __future__ import annotations
@@ -52,20 +52,6 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP, lookahead: float
     if n <= limit:
         return []
     ends, kinds = boundaries(text)
-    if not lookahead:
-        by_kind = [ends[kinds == k].tolist() for k in range(3)]
-        spans, s = [], 0
-        while n - s > limit:
-            for own in by_kind:
-                i = bisect_right(own, s + limit)
-                if i and own[i - 1] >= s + least:
-                    e = own[i - 1]
-                    break
-            else:
-                e = s + limit
-            spans.append((s, e))
-            s = e - overlap
-        return [*spans, (s, n)]
     return _least_total(n, ends.tolist(), kinds.tolist(), limit, overlap, least, lookahead)
 
 

@@ -16,7 +16,19 @@ _VECTORS = """v AS (SELECT DISTINCT chunk_id AS id, strategy, model, vec::DOUBLE
 _SPREAD = f"""w AS (SELECT doc_id, unnest({_WORDS % "text"}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
  spread AS (SELECT term, count(*) AS df, 1 - (ln(sum(tf)) - sum(tf * ln(tf)) / sum(tf)) / ln((SELECT count(text) FROM documents)) AS gw FROM tf GROUP BY term)"""
 
+def _end(before: str) -> str:
+    """The last end in the second half of the window that the pattern stands before."""
+    found = f"length(regexp_extract(w, '(?s)^.*{before}'))"
+    return f"CASE WHEN {found} >= 700 THEN e - 200 + {found} END"
+
+
 SQL: dict[str, str] = {
+    "p1_found": f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 1400),
+ p AS (SELECT doc_id, n, NULL::BIGINT AS s, 200::BIGINT AS e FROM d
+  UNION ALL SELECT doc_id, n, e - 200, CASE WHEN n - (e - 200) <= 1400 THEN n ELSE coalesce(
+     {_end(r"\n\n")}, {_end(r"(?:。|[.;:!?][ \t\n])")}, {_end(r"[ \t\n]")}, e + 1200) END
+   FROM (SELECT p.doc_id, p.n, p.e, substring(d.text, p.e - 200 + 1, 1400) AS w FROM p JOIN d USING (doc_id) WHERE p.e < p.n))
+ SELECT doc_id, s AS char_start, e AS char_end FROM p WHERE s IS NOT NULL""",
     "p2_found": f"""WITH {_HITS} SELECT search_id, chunk_id FROM h x WHERE NOT EXISTS (SELECT 1 FROM h y WHERE y.search_id = x.search_id AND y.chunk_id <> x.chunk_id AND {_BEATS} < 3)""",
     "p2_ranking": f"""WITH {_HITS}, r AS (SELECT search_id, chunk_id, {_RANKS} FROM h),
  f AS (SELECT search_id, chunk_id, coalesce(1 / (60 + ra), 0) + coalesce(1 / (60 + rb), 0) + coalesce(1 / (60 + rc), 0) + coalesce(1 / (60 + rd), 0) AS rrf FROM r)
