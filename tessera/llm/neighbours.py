@@ -1,17 +1,20 @@
-"""The most similar vectors of every vector: a forest of random-projection trees.
-
-1. Equal vectors become one node with the first k + 1 of their ids, so that copies don't crowd a task.
-2. Random hyperplanes, with medians fitted on a bounded sample, cut each group of vectors into cells that fit a task. A vector
-   within a margin of a plane goes to both sides, so close pairs share a cell.
-3. In each cell a forest of random-projection trees with leaves of some hundred vectors is grown over all its vectors.
-   A query looks into its own leaf in every tree, and then into the leaves behind the planes that it lies nearest to, taken
-   from one priority queue over all trees.
-4. Where more vectors crowd around a query than such leaves can hold, it is compared with its whole cell instead, in blocks.
-5. The vectors met are compared exactly, and the best k per vector over all cells remain.
+"""The most similar vectors of every vector: a forest of random-projection trees with one priority queue.
+
+1. A forest of TREES trees is fitted on a sample. A node's plane stands between the centres of two groups that grow from two random
+   rows, at the place with the fewest rows in its margin, so planes run where few close pairs lie. A node is split until its
+   leaf is expected to hold ``cell`` vectors, to any depth.
+2. Every vector goes to its leaf in each tree. All planes on its ways down wait in one queue over all trees; the PROBES nearest ones are
+   crossed too, if they lie within the margin, and the leaf behind each is visited. So no vector has more than TREES + PROBES
+   copies, whatever the depth of the trees.
+3. A leaf is a task: its own vectors are compared exactly with one another and with the visitors, and the best k of each remain; a
+   pair met from one side counts for the other too. The best k over all leaves are the result.
+4. A plane through a crowded topic would part neighbours whatever its place. A node most of whose rows are near each other
+   stays one leaf up to ``dense`` vectors, and is compared as a whole.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,188 +24,255 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-#: Vectors of a cell at most, by estimate; rows of the sample for the cells' medians; trees, leaf size, leaves from the queue.
-CELL, SAMPLE, TREES, LEAF, PROBES = 65_536, 65_536, 8, 96, 12
-#: Vectors around a query from which on its leaves are not trusted; rows of the sample of a cell by which they are estimated.
-CROWD, CROWD_SAMPLE = 600, 1024
+#: Vectors that a leaf is laid out for, visitors included, and that a leaf of one crowded topic may hold.
+CELL, DENSE = 8_192, 131_072
+#: Trees of the forest; leaves that a vector visits from the queue.
+TREES, PROBES = 2, 1
+#: Sample rows: a leaf at least, for all leaves together at least, and at once on the driver at most.
+LEAF_ROWS, LEAST_ROWS, FIT_ROWS = 128, 20_000, 131_072
 #: Half-width of the margin in standard deviations of a close pair's projected difference.
-MARGIN = 0.85
-
-
-def _directions(seed: int, count: int, dim: int) -> np.ndarray:
-    w = np.random.default_rng(seed).standard_normal((count, dim)).astype(np.float32)
-    return w / np.linalg.norm(w, axis=1, keepdims=True)
-
-
-class Cells:
-    """Hyperplanes above the cells of one group: level by level, one direction for each node."""
-
-    def __init__(self, sample: np.ndarray, total: int, cell: int, margin: float, seed: int):
-        self.levels = max(0, int(np.ceil(np.log2(max(total, 1) / cell)))) if len(sample) > 1 else 0
-        self.levels = min(self.levels, max(0, int(np.log2(max(len(sample), 1) / 16))))
-        self.margin = margin
-        nodes = (1 << self.levels) - 1
-        self.w = _directions(seed, nodes, sample.shape[1]) if nodes else np.zeros((0, sample.shape[1]), np.float32)
-        self.t = np.zeros(nodes, np.float32)
-        inside = {0: np.arange(len(sample))}
-        for node in range(nodes):
-            p = sample[inside[node]] @ self.w[node]
-            self.t[node] = np.median(p) if len(p) else 0.0
-            inside[2 * node + 1], inside[2 * node + 2] = inside[node][p <= self.t[node]], inside[node][p > self.t[node]]
-
-    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell), a row several times if it lies near planes."""
-        rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for _ in range(self.levels):
-            p = np.einsum("ij,ij->i", x[rows], self.w[node]) - self.t[node]
-            left, right = p <= self.margin, p > -self.margin
-            rows, node = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
-        return rows, node
-
-
-def crowded(x: np.ndarray, least: float, crowd: int = CROWD, seed: int = 11) -> np.ndarray:
-    """Rows of x with more than about ``crowd`` others nearby: within sqrt(2) times the distance that ``least`` allows, as leaves hold these too."""
+MARGIN = 1.0
+#: Bytes of planes that are broadcast at most; with more vectors than these can part, leaves are laid out larger.
+PLANES = 1 << 30
+
+
+class Tree:
+    """Planes in flat arrays. A child below 0 is the leaf -child - 1."""
+
+    def __init__(self, w: np.ndarray, t: np.ndarray, child: np.ndarray, leaves: int):
+        self.w, self.t, self.child, self.leaves = w, t, child, leaves
+
+    def step(self, x: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Signed distances from the planes at ``node``."""
+        return np.einsum("ij,ij->i", x, self.w[node]) - self.t[node]
+
+    def down(self, x: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The leaves below the given nodes."""
+        node = node.copy()
+        while len(at := np.flatnonzero(node >= 0)):
+            node[at] = self.child[node[at], (self.step(x[at], node[at]) > 0).astype(int)]
+        return -node - 1
+
+    def ways(self, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf, gap, other): each row's leaf, and for the ``keep`` nearest planes on its way the distance and the node behind."""
+        n = len(x)
+        node = np.full(n, 0 if len(self.t) else -1)
+        gap, other = np.full((n, keep), np.inf, np.float32), np.full((n, keep), -1)
+        while len(at := np.flatnonzero(node >= 0)):
+            d = self.step(x[at], node[at])
+            right = (d > 0).astype(int)
+            near = np.concatenate([gap[at], np.abs(d)[:, None]], axis=1)
+            behind = np.concatenate([other[at], self.child[node[at], 1 - right][:, None]], axis=1)
+            order = np.argsort(near, axis=1, kind="stable")[:, :keep]
+            gap[at], other[at] = np.take_along_axis(near, order, 1), np.take_along_axis(behind, order, 1)
+            node[at] = self.child[node[at], right]
+        return -node - 1, gap, other
+
+    def joined(self, below: dict[int, Tree]) -> Tree:
+        """The tree with some of its leaves replaced by trees."""
+        w, t, child, leaves = [self.w], [self.t], self.child.copy(), self.leaves
+        added = []
+        for leaf, sub in below.items():
+            if not len(sub.t):
+                continue
+            shift = sum(map(len, t))
+            codes = np.where(sub.child >= 0, sub.child + shift, sub.child - leaves)
+            leaves += sub.leaves
+            w.append(sub.w)
+            t.append(sub.t)
+            added.append(codes)
+            child[child == -leaf - 1] = shift
+        return Tree(np.concatenate(w), np.concatenate(t), np.concatenate([child, *added]), leaves)
+
+    def dumped(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, w=self.w, t=self.t, child=self.child, leaves=self.leaves)
+        return out.getvalue()
+
+    @staticmethod
+    def loaded(data: bytes) -> Tree:
+        f = np.load(io.BytesIO(data))
+        return Tree(f["w"], f["t"], f["child"], int(f["leaves"]))
+
+
+def _plane(x: np.ndarray, margin: float, rng: np.random.Generator) -> tuple[np.ndarray, float] | None:
+    """Of a few planes between two random rows' groups the one with the fewest rows in its margin, near the middle if it can be."""
+    best = None
+    for _ in range(4):
+        a, b = x[rng.choice(len(x), 2, replace=False)]
+        for _ in range(3):
+            w = a - b
+            side = x @ w > (a + b) @ w / 2
+            if side.all() or not side.any():
+                break
+            a, b = x[side].mean(axis=0), x[~side].mean(axis=0)
+        w = a - b
+        if (size := np.linalg.norm(w)) < 1e-6:
+            continue
+        w = (w / size).astype(np.float32)
+        p = np.sort(x @ w)
+        share = np.linspace(0.25, 0.75, 21)
+        at = p[(share * (len(p) - 1)).astype(int)]
+        crossed = (np.searchsorted(p, at + margin) - np.searchsorted(p, at - margin)) / len(p) + 0.15 * np.abs(share - 0.5)
+        i = int(np.argmin(crossed))
+        if p[0] <= at[i] < p[-1] and (best is None or crossed[i] < best[0]):
+            best = (crossed[i], w, float(at[i]))
+    return best and best[1:]
+
+
+def grow(x: np.ndarray, total: float, cell: int, least: float, margin: float, seed: int, dense: int = DENSE) -> tuple[Tree, list[int]]:
+    """A tree over ``total`` vectors of which the rows of x are a sample, and the leaves that need a larger sample to be split on."""
+    rng = np.random.default_rng(seed)
+    w: list[np.ndarray] = []
+    t: list[float] = []
+    child: list[list[int]] = []
+    open_: list[int] = []
+    leaves = 0
+    stack = [(np.arange(len(x)), -1, 0)]  # rows, parent, side
+    while stack:
+        rows, parent, side = stack.pop()
+        size = len(rows) * total / max(len(x), 1)
+        own = x[rows if len(rows) <= 4096 else rows[:: -(-len(rows) // 4096)]]
+        plane = None
+        if size > 0.6 * cell and len(rows) >= 8:
+            some = own[:256]
+            crowded = size <= dense and np.mean(some @ some.T >= 2 * least - 1) > 0.5
+            plane = None if crowded else _plane(own, margin, rng)
+            if plane and len(rows) < LEAF_ROWS and size > cell:
+                open_.append(leaves)
+                plane = None
+        if plane is None:
+            code = -leaves - 1
+            leaves += 1
+        else:
+            code = len(t)
+            w.append(plane[0])
+            t.append(plane[1])
+            child.append([0, 0])
+            right = x[rows] @ plane[0] > plane[1]
+            stack += [(rows[~right], code, 0), (rows[right], code, 1)]
+        if parent >= 0:
+            child[parent][side] = code
+    dim = x.shape[1]
+    return Tree(np.array(w, np.float32).reshape(-1, dim), np.array(t, np.float32), np.array(child, np.int64).reshape(-1, 2), leaves), open_
+
+
+def route(trees: list[Tree], x: np.ndarray, margin: float, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tree, leaf, home): every row's leaf in each tree, and the leaves behind the nearest planes from one queue over all trees."""
     n = len(x)
-    if n <= crowd:
-        return np.zeros(0, np.int64)
-    sample = x[np.random.default_rng(seed).choice(n, min(n, CROWD_SAMPLE), replace=False)].T
-    near = np.concatenate([np.count_nonzero(x[lo : lo + 4096] @ sample >= 2 * least - 1, axis=1) for lo in range(0, n, 4096)])
-    return np.flatnonzero(near * (n / sample.shape[1]) > crowd)
-
-
-def against_all(x: np.ndarray, rows: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): for the given rows the best others of all of x, not below the row's bound; a few more than k, so that rounding decides nothing."""
-    pairs, want = [], min(k + 4, len(x))
-    for lo in range(0, len(rows), 128):
-        q = rows[lo : lo + 128]
-        s = x[q] @ x.T
-        low = bound[lo : lo + 128, None]
-        mask = s >= low
-        if np.count_nonzero(mask) > 64 * len(q):
-            low = np.maximum(low, np.partition(s, len(x) - want, axis=1)[:, len(x) - want, None])
-            mask = s >= low
-        at = np.flatnonzero(mask)
-        r, c = at // len(x), at % len(x)
-        order = np.lexsort((-s[r, c], r))
-        r, c = r[order], c[order]
-        keep = (np.arange(len(r)) - np.searchsorted(r, r) < want) & (q[r] != c)
-        pairs.append(np.stack([q[r][keep], c[keep]]))
-    a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-    return a, b
-
-
-def _best(x: np.ndarray, pairs: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, cosine): of the given pairs a * len(x) + b the best k of each a whose cosine is at least ``least``."""
-    a, b = pairs // len(x), pairs % len(x)
-    exact = np.concatenate([np.einsum("ij,ij->i", x[a[lo : lo + 100_000]].astype(np.float64), x[b[lo : lo + 100_000]].astype(np.float64)) for lo in range(0, len(a), 100_000)]) if len(a) else np.zeros(0)
-    exact = np.round(exact, 7)
-    ok = exact >= least
-    a, b, exact = a[ok], b[ok], exact[ok]
-    order = np.lexsort((b, -exact, a))
-    a, b, exact = a[order], b[order], exact[order]
-    first = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1]) if len(a) else np.zeros(0, np.int64)
-    place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-    return a[place < k], b[place < k], exact[place < k]
-
-
-def search(x: np.ndarray, k: int, least: float, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, seed: int = 7, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, cosine): for every row of the unit vectors x its best k others among those met whose cosine is at least ``least``.
-
-    Rows that ``crowded`` finds meet all others; the leaves only give them a bound.
+    ways = [t.ways(x, probes) for t in trees]
+    rows, tree = [np.tile(np.arange(n), len(trees))], [np.repeat(np.arange(len(trees)), n)]
+    leaf, home = [np.concatenate([w[0] for w in ways])], [np.ones(n * len(trees), bool)]
+    gap, other = np.concatenate([w[1] for w in ways], axis=1), np.concatenate([w[2] for w in ways], axis=1)
+    order = np.argsort(gap, axis=1, kind="stable")[:, :probes]
+    for k in range(order.shape[1]):
+        i, j = np.flatnonzero(gap[np.arange(n), order[:, k]] < margin), order[:, k]
+        at = j[i] // probes
+        found = np.zeros(len(i), np.int64)
+        for t, own in enumerate(trees):
+            mine = at == t
+            found[mine] = own.down(x[i[mine]], other[i[mine], j[i[mine]]])
+        rows.append(i)
+        tree.append(at)
+        leaf.append(found)
+        home.append(np.zeros(len(i), bool))
+    return np.concatenate(rows), np.concatenate(tree), np.concatenate(leaf), np.concatenate(home)
+
+
+def _upper(q: np.ndarray, x: np.ndarray, want: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of q, row of x): the best ``want`` rows of x of each row of q, at least ``least`` similar, in single precision."""
+    rows, cols = [], []
+    step = max(16, (1 << 22) // max(len(x), 1))
+    for lo in range(0, len(q), step):
+        s = q[lo : lo + step] @ x.T
+        mask = s >= least
+        many = np.flatnonzero(np.count_nonzero(mask, axis=1) > want)
+        if len(many):
+            own = s[many]
+            mask[many] = own >= np.partition(own, own.shape[1] - want, axis=1)[:, own.shape[1] - want, None]
+        r, c = np.nonzero(mask)
+        over = np.bincount(r, minlength=len(s)) > want  # many equally similar ones: the first are as good as any
+        if over.any():
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            strict = s[r, c] > np.where(over, np.where(mask, s, 9).min(axis=1), -9)[r]
+            ok = strict | (place < 4 * want)
+            r, c = r[ok], c[ok]
+        rows.append(r + lo)
+        cols.append(c)
+    return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def search(x: np.ndarray, home: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine) within one leaf: the best k of each row among those met; visitors don't meet one another."""
+    own, guests = np.flatnonzero(home), np.flatnonzero(~home)
+    order = np.concatenate([own, guests])
+    y = x[order]
+    a, b = _upper(y[: len(own)], y, k + 5, least - 1e-4)
+    c, d = _upper(y[len(own) :], y[: len(own)], k + 5, least - 1e-4)
+    a, b = np.concatenate([a, c + len(own), b, d]), np.concatenate([b, d, a, c + len(own)])
+    pairs = np.unique(a[a != b] * len(x) + b[a != b])
+    a, b = order[pairs // max(len(x), 1)], order[pairs % max(len(x), 1)]
+    s = np.concatenate([np.einsum("ij,ij->i", x[a[lo : lo + 100_000]].astype(np.float64), x[b[lo : lo + 100_000]].astype(np.float64)) for lo in range(0, len(a), 100_000)] or [np.zeros(0)])
+    s = np.round(s, 7)
+    a, b, s = a[s >= least], b[s >= least], s[s >= least]
+    at = np.lexsort((b, -s, a))
+    a, b, s = a[at], b[at], s[at]
+    best = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[best], b[best], s[best]
+
+
+def _forests(sample: DataFrame, totals: dict[str, int], dim: int, cell: int, least: float, margin: float, trees: int, dense: int, fit_rows: int) -> dict[str, list[Tree]]:
+    """The forest of each group in ``totals``, fitted on (g, x), a sample of its vectors.
+
+    Up to ``fit_rows`` rows of a group are taken to the driver. Leaves that these are too few for get trees of their own, fitted in
+    tasks over the whole sample; only planes come back, whose number is that of the leaves.
     """
-    n, dim = x.shape
-    if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    depth = max(0, int(np.ceil(np.log2(n / leaf))))
-    pairs: list[np.ndarray] = []
-    if depth == 0:
-        members, queries, starts = [np.arange(n)], [np.arange(n)], 1
-    else:
-        p = (x @ _directions(seed, trees * depth, dim).T).reshape(n, trees, depth)
-        thresholds = [np.zeros((trees, 1 << level), np.float32) for level in range(depth)]
-        node = np.zeros((n, trees), np.int64)
-        paths = np.zeros((n, trees, depth), np.int64)
-        for level in range(depth):
-            paths[:, :, level] = node
-            for t in range(trees):
-                own = p[:, t, level]
-                order = np.lexsort((own, node[:, t]))
-                count = np.bincount(node[:, t], minlength=1 << level)
-                middle = np.concatenate([[0], np.cumsum(count)[:-1]]) + count // 2
-                thresholds[level][t] = own[order[np.minimum(middle, n - 1)]]
-                node[:, t] = 2 * node[:, t] + (own > thresholds[level][t][node[:, t]])
-        # one queue over all trees: the planes a query is nearest to come first
-        gap = np.stack([np.abs(p[:, :, level] - np.take_along_axis(thresholds[level], paths[:, :, level].T, 1).T) for level in range(depth)], axis=2).reshape(n, -1)
-        take = min(probes, gap.shape[1])
-        near = np.argpartition(gap, take - 1, axis=1)[:, :take]
-        tree, at = near // depth, near % depth
-        rows = np.arange(n)[:, None]
-        behind = _behind(p, paths, thresholds, tree, at)
-        for level in range(1, depth):
-            deeper = at < level
-            down = p[rows, tree, np.full_like(at, level)] > thresholds[level][tree, np.where(deeper, behind, 0)]
-            behind = np.where(deeper, 2 * behind + down, behind)
-        leaves = 1 << depth
-        home = (node + np.arange(trees) * leaves).ravel()
-        visit = np.concatenate([home, (behind + tree * leaves).ravel()])
-        who = np.concatenate([np.repeat(np.arange(n), trees), np.repeat(np.arange(n), take)])
-        by_leaf = np.argsort(home, kind="stable")
-        member_ends = np.cumsum(np.bincount(home, minlength=leaves * trees))
-        key = np.unique(visit * n + who)
-        visit, who = key // n, key % n
-        visit_ends = np.cumsum(np.bincount(visit, minlength=leaves * trees))
-        owners = np.repeat(np.arange(n), trees)[by_leaf]
-        members = np.split(owners, member_ends[:-1])
-        queries = np.split(who, visit_ends[:-1])
-        starts = leaves * trees
-    for i in range(starts):
-        m = members[i]
-        if not len(m):
-            continue
-        xm = x[m].T
-        for lo in range(0, len(queries[i]), 4096):
-            q = queries[i][lo : lo + 4096]
-            s = x[q] @ xm
-            if s.shape[1] > k + 1:  # a query needs no more than k + 1 of a leaf, itself among them
-                s = np.where(s >= np.maximum(np.partition(s, s.shape[1] - k - 1, axis=1)[:, -k - 1 : -k], least - 1e-4), s, -2.0) if (s >= least - 1e-4).sum() > len(q) * (k + 1) else s
-            r, c = np.nonzero(s >= least - 1e-4)
-            keep = q[r] != m[c]
-            pairs.append(q[r][keep] * n + m[c][keep])
-    found = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-    both = np.unique(np.concatenate([found, found % n * n + found // n]))  # a pair met from one side counts for the other too
-    del pairs, found
-    a, b, exact = _best(x, both, k, least)
-    del both
-    rows = crowded(x, least, crowd) if depth else np.zeros(0, np.int64)
-    if len(rows):
-        bound = np.full(n, least, np.float32)
-        full = np.flatnonzero(np.bincount(a, minlength=n) == k)
-        bound[full] = exact[np.searchsorted(a, full, side="right") - 1]
-        own, other = against_all(x, rows, bound[rows] - 1e-5, k)
-        kept = ~np.isin(a, rows)
-        a, b, exact = _best(x, np.concatenate([a[kept] * n + b[kept], own * n + other]), k, least)
-    return a, b, exact
-
-
-def _behind(p: np.ndarray, paths: np.ndarray, thresholds: list, tree: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The node on the other side of the plane, for each taken plane."""
-    rows = np.arange(len(p))[:, None]
-    here = paths[rows, tree, at]
-    width = max(t.shape[1] for t in thresholds)
-    padded = np.stack([np.pad(t, ((0, 0), (0, width - t.shape[1]))) for t in thresholds])
-    return 2 * here + 1 - (p[rows, tree, at] > padded[at, tree, here])
+    out: dict[str, list[Tree]] = {}
+    for g, n in sorted(totals.items()):
+        held = sample.filter(F.col("g") == g)
+        part = held.limit(fit_rows).toPandas()
+        x = np.frombuffer(b"".join(part.x), np.float32).reshape(-1, dim)
+        forest = [grow(x, n, cell, least, margin, 100 + t, dense) for t in range(trees)]
+        opened = [set(o) for _, o in forest]
+        if any(opened):
+            first = [t for t, _ in forest]
+
+            def deeper(batches: Iterator[pa.RecordBatch], first=first, opened=opened) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    y = np.frombuffer(b"".join(b.column(0).to_pylist()), np.float32).reshape(-1, dim)
+                    for t, tree in enumerate(first):
+                        leaf = tree.down(y, np.full(len(y), 0 if len(tree.t) else -1))
+                        own = np.flatnonzero(np.isin(leaf, list(opened[t])))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t)), pa.array(leaf[own]), b.column(0).take(pa.array(own))], names=["tree", "leaf", "x"])
+
+            share = n / max(held.count(), 1)
+
+            def fitted(key: tuple, t: pa.Table) -> pa.Table:
+                y = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32).reshape(-1, dim)
+                sub, _ = grow(y, len(y) * share, cell, least, margin, 1000 + key[0].as_py() * 7919 + key[1].as_py(), dense)
+                return pa.table({"tree": [key[0].as_py()], "leaf": [key[1].as_py()], "planes": [sub.dumped()]})
+
+            more = held.select("x").mapInArrow(deeper, "tree bigint, leaf bigint, x binary").groupBy("tree", "leaf").applyInArrow(fitted, "tree bigint, leaf bigint, planes binary").collect()
+            out[g] = [tree.joined({r.leaf: Tree.loaded(bytes(r.planes)) for r in more if r.tree == t}) for t, tree in enumerate(first)]
+        else:
+            out[g] = [t for t, _ in forest]
+    return out
 
 
 def nearest(
-    vectors: DataFrame, groups: list[str], item: str = "chunk_id", vec: str = "vec", k: int = 5, least: float = 0.85, dim: int = 64, cell: int = CELL, sample_rows: int = SAMPLE, margin: float = MARGIN
-) -> DataFrame:
+    vectors: DataFrame, groups: list[str], item: str = "chunk_id", vec: str = "vec", k: int = 5, least: float = 0.85, dim: int = 64,
+    cell: int = CELL, margin: float = MARGIN, trees: int = TREES, probes: int = PROBES, dense: int = DENSE, fit_rows: int = FIT_ROWS,
+) -> DataFrame:
     """(a, b, cosine): b is among the k most similar other items of a in its group, and their cosine is at least ``least``.
 
     Only vectors of ``dim`` values, none of them null or NaN, that aren't all zero take part; rows with a null item or group neither.
     Repeated rows count once. Cosines are rounded to 7 places; of equal ones the smaller id comes first, so an item whose
-    vector many others share still has at most k partners. An item may have less than k partners. ``least`` is
-    also what the margins are laid out for: with a lower value more vectors lie in several cells.
-    The sample fixes only where planes cut; every vector is indexed and every vector is a query.
+    vector many others share still has at most k partners. An item may have less than k partners. ``least`` is also what the margin is
+    laid out for. The sample fixes only where planes cut; every vector is indexed and every vector is a query. A crowded topic
+    of more than ``dense`` vectors is split like anything else and loses recall.
+
+    The vectors are read twice: for ids, hashes and the sample, which are written to the checkpoint folder (jobs that run while the
+    query is built), and for the leaves.
     """
     spark = vectors.sparkSession
     given = vectors.select(F.concat_ws("\x1f", *groups).alias("g"), F.col(item).alias("id"), F.col(vec).alias("v")).filter(
@@ -222,49 +292,61 @@ def nearest(
 
     units = given.mapInArrow(unit, f"g string, id {given.schema['id'].dataType.simpleString()}, x binary")
     units = units.withColumn("h", F.xxhash64("g", "x"))
-    # equal vectors: the first k + 1 ids of each; Spark cuts the ranks within each task before it shuffles
-    heads = units.withColumn("r", F.dense_rank().over(Window.partitionBy("h").orderBy("id"))).filter(f"r <= {k + 1}").dropDuplicates(["h", "r"])
-    nodes = heads.filter("r = 1").select("g", "h", "x")
-
-    totals = {r["g"]: r["n"] for r in units.groupBy("g").agg(F.count("*").alias("n")).collect()}  # a row per group
-    large = {g: n for g, n in totals.items() if n > cell}
+    n = vectors.count()  # of parquet, from the footers alone
+    cell = max(cell, int(n * trees * (4 * dim + 24) / (0.4 * PLANES)))
+    share = min(1.0, max(LEAF_ROWS / (0.6 * cell), LEAST_ROWS / max(n, 1)))
+    sampled = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    known = cut(units.select("g", "id", "h", F.when(sampled, F.col("x")).alias("x")))
+    totals = {r["g"]: r["n"] for r in known.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > 0.6 * cell).collect()}  # at most n / cell groups
     chord = float(np.sqrt(max(2 - 2 * least, 0)))
-    cells = {}
-    for i, (g, n) in enumerate(sorted(large.items())):
-        part = units.filter(F.col("g") == g).filter(F.abs(F.hash("h")) < int(min(1.0, 1.5 * sample_rows / n) * (2**31 - 1))).select("x").limit(sample_rows).toPandas()
-        cells[g] = Cells(np.frombuffer(b"".join(part.x), np.float32).reshape(-1, dim), n, cell, margin * chord / np.sqrt(dim), 100 + i)
-    planes = spark.sparkContext.broadcast(cells)  # at most sample_rows / 16 planes a group
+    width = margin * chord / float(np.sqrt(dim))
+    forests = _forests(known.filter("x IS NOT NULL").select("g", "x"), totals, dim, cell, least, width, trees, dense, fit_rows)
+    planes = spark.sparkContext.broadcast(forests)  # within PLANES
+
+    # equal vectors meet in their leaf. Of one that very many rows share only the first goes there; by the threshold these are 100,000 at most
+    often = max(1000, n // 100_000)
+    hot = known.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") > often).select("h", "first")
+    nodes = units.join(F.broadcast(hot), "h", "left").filter(F.col("first").isNull() | (F.col("id") == F.col("first"))).select("g", "h", "x")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g = np.array(b.column(0).to_pylist(), object)
+            group = b.column(0).dictionary_encode()
+            code = group.indices.to_numpy(zero_copy_only=False)
             x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(-1, dim)
-            rows, cell_of = [], []
-            for one in set(g):
-                own = np.flatnonzero(g == one)
-                r, c = planes.value[one].of(x[own]) if one in planes.value else (np.arange(len(own)), np.zeros(len(own), np.int64))
-                rows.append(own[r])
-                cell_of.append(c)
-            taken = b.take(pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(np.concatenate(cell_of) if rows else np.zeros(0, np.int64)), taken.column(1), taken.column(2)], names=["g", "cell", "h", "x"])
+            parts = []
+            for i, g in enumerate(group.dictionary.to_pylist()):
+                own = np.flatnonzero(code == i)
+                if g in planes.value:
+                    r, t, leaf, home = route(planes.value[g], x[own], width, probes)
+                else:
+                    r, t, leaf, home = np.arange(len(own)), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.ones(len(own), bool)
+                parts.append((own[r], t << 40 | leaf, home))
+            if not parts:
+                continue
+            rows, leaf, home = (np.concatenate(p) for p in zip(*parts))
+            taken = b.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(leaf), pa.array(home), taken.column(1), taken.column(2)], names=["g", "leaf", "home", "h", "x"])
 
     def within(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        h = t.column("h").to_numpy()
+        h, home = t.column("h").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
         x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32).reshape(-1, dim)
-        a, b, s = search(x, k, least)
-        return pa.table({"ha": h[a], "hb": h[b], "cosine": s})
+        order = np.lexsort((~home, h))
+        first = order[np.concatenate([[True], h[order][1:] != h[order][:-1]])] if len(h) else order
+        a, b, s = search(np.ascontiguousarray(x[first]), home[first], k, least)
+        return pa.table({"ha": h[first][a], "hb": h[first][b], "cosine": s})
 
-    edges = nodes.mapInArrow(spread, "g string, cell bigint, h bigint, x binary").groupBy("g", "cell").applyInArrow(within, "ha bigint, hb bigint, cosine double")
+    edges = nodes.mapInArrow(spread, "g string, leaf bigint, home boolean, h bigint, x binary").groupBy("g", "leaf").applyInArrow(within, "ha bigint, hb bigint, cosine double")
     edges = edges.dropDuplicates(["ha", "hb"])
     edges = edges.withColumn("r", F.row_number().over(Window.partitionBy("ha").orderBy(F.desc("cosine"), "hb"))).filter(f"r <= {k}").drop("r")
+    # equal vectors: the first k + 1 ids of each; Spark cuts the ranks within each task before it shuffles
+    heads = known.select("h", "id").withColumn("r", F.dense_rank().over(Window.partitionBy("h").orderBy("id"))).filter(f"r <= {k + 1}").dropDuplicates(["h", "r"])
     ids = cut(heads.select("h", "id", "r"))
     shared = ids.filter("r = 2").select(F.col("h").alias("ha"), F.col("h").alias("hb"), F.lit(1.0).alias("cosine"))
     a = ids.select(F.col("h").alias("ha"), F.col("id").alias("a"))
     b = ids.select(F.col("h").alias("hb"), F.col("id").alias("b"))
     # the copies beyond the first k + 1 of a vector have the first k as their partners
     crowded = ids.filter(f"r = {k + 1}").select("h")
-    rest = units.select("h", "id").join(crowded, "h").join(ids.select("h", "id"), ["h", "id"], "left_anti").distinct()
+    rest = known.select("h", "id").join(crowded, "h").join(ids.select("h", "id"), ["h", "id"], "left_anti").distinct()
     more = rest.select(F.col("h").alias("hb"), F.col("id").alias("a")).join(ids.filter(f"r <= {k}").select(F.col("h").alias("hb"), F.col("id").alias("b")), "hb").select("a", "b", F.lit(1.0).alias("cosine"))
     best = (
         edges.unionByName(shared).join(a, "ha").join(b, "hb").filter("a <> b")
