@@ -92,11 +92,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     scored = repeat.repetition(table(spark, d, "documents"), "doc_id")
-    return scored.filter((F.col("words") >= repeat.LEAST_WORDS) & F.col("candidate") & (F.col("share") >= repeat.LEAST_SHARE)).select("doc_id")
+    return scored.filter(F.col("candidate") & (F.col("share") >= repeat.LEAST_SHARE)).select("doc_id")
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
-    return repeat.repetition(table(spark, d, "documents"), "doc_id").select("doc_id", "words", F.round("share", 9).alias("share"))
+    return repeat.shares(table(spark, d, "documents"), "doc_id").select("doc_id", "words", F.round("share", 9).alias("share"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
