@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Query vectors that travel with one pass over the collection.
 BLOCK = 4096
@@ -38,52 +40,55 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_id: st
     """
     spark = vectors.sparkSession
     rows = vectors.filter(F.size(vec) == dim).select(item, vec)
-    kinds = [queries.schema[query_id].dataType.simpleString(), vectors.schema[item].dataType.simpleString()]
-    schema = f"`{query_id}` {kinds[0]}, `{item}` {kinds[1]}, score double"
-    blocks: list[tuple[list, list]] = [([], [])]
-    for r in queries.filter(F.size(vec) == dim).select(query_id, vec).toLocalIterator():
-        if len(blocks[-1][0]) == BLOCK:
-            blocks.append(([], []))
-        blocks[-1][0].append(r[0])
-        blocks[-1][1].append(r[1])
-    parts = []
-    for ids, own in blocks:
+    kinds = [queries.schema[query_id].dataType, vectors.schema[item].dataType]
+    schema = f"`{query_id}` {kinds[0].simpleString()}, `{item}` {kinds[1].simpleString()}, score double"
+    types = [to_arrow_type(k) for k in kinds]
+    parts: list[DataFrame] = []
+
+    def scan_for(ids: list, own: list) -> None:
         q = np.array(own, np.float64).reshape(-1, dim)
         size = np.linalg.norm(q, axis=1)
-        held = spark.sparkContext.broadcast(([i for i, s in zip(ids, size) if s > 0], q[size > 0] / size[size > 0][:, None]))
+        held = spark.sparkContext.broadcast(([i for i, s in zip(ids, size) if s > 0], q[size > 0] / size[size > 0][:, None]))  # BLOCK vectors at most
 
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = held.value
-            best_s, best_i = np.zeros((len(names), 0)), np.zeros((len(names), 0), object)
+            row, name, score = np.zeros(0, np.int64), None, np.zeros(0)
+            floor = np.full(len(names), -np.inf)
             for b in batches:
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 size = np.linalg.norm(x, axis=1)
                 ok = size > 0
-                items = np.array(b.column(0).to_pylist(), object)[ok]
+                items = np.array(b.column(0).to_pylist())[ok]
                 if not len(names) or not len(items):
                     continue
                 s = np.round(q @ (x[ok] / size[ok][:, None]).T, 6)
-                if s.shape[1] > k:  # everything that ties with the k-th stays until ids can decide
-                    floor = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
-                    keep = [np.flatnonzero(row >= f) for row, f in zip(s, floor)]
-                else:
-                    keep = [np.arange(s.shape[1])] * len(names)
-                merged_s, merged_i = [], []
-                for n in range(len(names)):
-                    ss, ii = np.concatenate([best_s[n], s[n, keep[n]]]), np.concatenate([best_i[n], items[keep[n]]])
-                    order = sorted(range(len(ss)), key=lambda j: (-ss[j], ii[j]))[:k]
-                    merged_s.append(np.append(ss[order], np.full(k - len(order), -9.0)))
-                    merged_i.append(np.append(ii[order], np.full(k - len(order), ii[0])))
-                best_s, best_i = np.array(merged_s), np.array(merged_i, object)
-            rows = [(names[n], best_i[n][j], float(best_s[n][j])) for n in range(len(names)) for j in range(best_s.shape[1]) if best_s[n][j] > -9]
-            types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
-            columns = list(zip(*rows)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], types[kinds[0]]), pa.array(columns[1], types[kinds[1]]), pa.array(columns[2], pa.float64())], names=[query_id, item, "score"])
+                # what is below the best k so far, or below this batch's own k-th, is out; ties stay until ids can decide
+                least = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, -k]) if s.shape[1] > k else floor
+                r, c = np.nonzero(s >= least[:, None])
+                row, score = np.concatenate([row, r]), np.concatenate([score, s[r, c]])
+                name = items[c] if name is None else np.concatenate([name, items[c]])
+                order = np.lexsort((name, -score, row))
+                row, score, name = row[order], score[order], name[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, score, name = row[best], score[best], name[best]
+                full = np.flatnonzero(np.bincount(row, minlength=len(names)) == k)
+                floor[full] = score[np.searchsorted(row, full, side="right") - 1]
+            columns = [[names[r] for r in row], [] if name is None else name.tolist(), score]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], types[0]), pa.array(columns[1], types[1]), pa.array(columns[2], pa.float64())], names=[query_id, item, "score"])
 
         parts.append(rows.mapInArrow(scan, schema))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+
+    ids: list = []
+    own: list = []
+    for r in queries.filter(F.size(vec) == dim).select(query_id, vec).toLocalIterator():
+        ids.append(r[0])
+        own.append(r[1])
+        if len(ids) == BLOCK:
+            scan_for(ids, own)
+            ids, own = [], []
+    if ids or not parts:
+        scan_for(ids, own)
+    found = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), item)
     return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

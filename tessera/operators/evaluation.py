@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable
+from itertools import repeat
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.fusion import _decide, features, first_docs, ranked_hits
-from tessera.operators.ranking import rank_in_groups
+from tessera.operators.ranking import running_total
 
 SEED, ITERATIONS = 20240901, 1000
 
@@ -54,17 +55,11 @@ def answerable(qrels: DataFrame) -> DataFrame:
 def percentile(df: DataFrame, by: list[str], value: str, share: float, name: str) -> DataFrame:
     """The value at index min(n - 1, floor(share * n)) of the sorted ones; never between two values. Nulls don't count."""
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias(name))
-    n = rows.groupBy(*by, name).agg(F.count("*").alias("__c")).withColumn("__low", -F.col(name))  # equal values are one row
-    sized = n.groupBy(*by).agg(F.sum("__c").alias("__n"))
-    # a value's last place is the number of rows at or below it
-    placed = rank_in_groups(n.select(*by, name, "__low", F.explode(F.array_repeat(F.lit(1), F.col("__c").cast("int")))), by, "__low", "__first").groupBy(*by, name).agg(F.min("__first").alias("__first"), F.count("*").alias("__c"))
-    want = F.least(F.col("__n"), F.floor(F.lit(share) * F.col("__n")) + 1)
-    return placed.join(sized, by).filter((F.col("__first") <= want) & (want < F.col("__first") + F.col("__c"))).select(*by, name)
-
-
-def resample_index(iteration: Column, draw: Column, n: Column) -> Column:
-    """A place from 0 to n - 1 by integer arithmetic that any engine can repeat."""
-    return ((((iteration * 1000003 + draw * 7919 + SEED) % 2147483647) * 48271) % 2147483647) % n
+    counts = rows.groupBy(*by, name).agg(F.count("*").alias("__c"))  # equal values are one row
+    sized = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    placed = running_total(counts, by, [F.col(name)], F.col("__c"), "__before")
+    want = F.least(F.col("__n") - 1, F.floor(F.lit(share) * F.col("__n")))
+    return placed.join(sized, by).filter((F.col("__before") <= want) & (want < F.col("__before") + F.col("__c"))).select(*by, name)
 
 
 def hashed_index(iteration: Column, draw: Column, n: Column) -> Column:
@@ -76,9 +71,7 @@ def hashed_index(iteration: Column, draw: Column, n: Column) -> Column:
 def bootstrap(values: DataFrame, by: str, item: str, value: str, iterations: int = ITERATIONS, places: Callable[[Column, Column, Column], Column] = hashed_index) -> DataFrame:
     """(by, mean, lo, hi, p_better): 95 % interval of the mean by resampling; p_better: share of means over 0.
 
-    ``places`` gives the place of each (iteration, draw). ``hashed_index`` draws with replacement; the places of ``resample_index`` form
-    a lattice whose intervals are too narrow, and only the queries whose SQL states it use it.
-    Draws are aggregated as they are made; a group's rows are its queries, whose number is bounded.
+    ``places`` gives the place of each (iteration, draw), drawn with replacement. Draws are aggregated as they are made; a group's rows are its queries, whose number is bounded.
     """
     rows = values.filter(F.col(value).isNotNull()).select(by, item, F.col(value).alias("v"))
     n = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg("v").alias("m"))
@@ -99,26 +92,32 @@ def paired(deltas: DataFrame, by: str, item: str, value: str, iterations: int =
     return got.withColumn("significant", significant(F.col("lo"), F.col("hi")))
 
 
+def _resampled_means(values: np.ndarray, iterations: int, seed: int) -> np.ndarray:
+    """Sorted means of ``iterations`` resamples whose places are the Mersenne Twister's, a row of the matrix each."""
+    twister = random.Random(seed)
+    places = np.fromiter(map(twister.randrange, repeat(len(values), iterations * len(values))), np.int64).reshape(iterations, -1)
+    return np.sort(values[places].mean(axis=1))
+
+
 def bootstrap_exact(values: list[float], iterations: int = ITERATIONS, level: float = 0.95, seed: int = SEED) -> tuple[float, float, float]:
-    """(mean, lo, hi) with the Mersenne Twister's places, for a list of one value per query on the driver."""
-    if not values:
-        return (math.nan,) * 3
-    mean = sum(values) / len(values)
-    if len(values) < 2:
-        return mean, mean, mean
-    rng, n = random.Random(seed), len(values)
-    means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(iterations))
-    return mean, means[int((1 - level) / 2 * iterations)], means[min(iterations - 1, int((1 + level) / 2 * iterations))]
+    """(mean, lo, hi) for a list of one value per query on the driver; NaN without values, the mean alone for a single one."""
+    own = np.asarray(values, np.float64)
+    if own.size < 2:
+        return (float(own[0]),) * 3 if own.size else (math.nan,) * 3
+    ordered = _resampled_means(own, iterations, seed)
+    tail = (1 - level) / 2
+    return float(own.mean()), float(ordered[int(tail * iterations)]), float(ordered[min(iterations - 1, int((1 - tail) * iterations))])
 
 
 def paired_exact(a: list[float | None], b: list[float | None], iterations: int = ITERATIONS, seed: int = SEED) -> dict[str, float]:
     """delta, lo, hi and p_better of b over a, for pairs where both have a value; NaN for less than two."""
-    both = [y - x for x, y in zip(a, b) if x is not None and y is not None]
-    if len(both) < 2:
-        return dict.fromkeys(("delta", "lo", "hi", "p_better"), math.nan)
-    rng, n = random.Random(seed), len(both)
-    means = sorted(sum(both[rng.randrange(n)] for _ in range(n)) / n for _ in range(iterations))
-    return {"delta": sum(both) / n, "lo": means[int(0.025 * iterations)], "hi": means[min(iterations - 1, int(0.975 * iterations))], "p_better": sum(m > 0 for m in means) / iterations}
+    gains = np.array([(math.nan if v is None else v) for v in b], np.float64) - np.array([(math.nan if v is None else v) for v in a], np.float64)
+    gains = gains[~np.isnan(gains)]
+    names = ("delta", "lo", "hi", "p_better")
+    if gains.size < 2:
+        return dict.fromkeys(names, math.nan)
+    delta, lo, hi = bootstrap_exact(gains.tolist(), iterations, 0.95, seed)
+    return dict(zip(names, (delta, lo, hi, float((_resampled_means(gains, iterations, seed) > 0).mean()))))
 
 
 def significant(lo: Column, hi: Column) -> Column:
@@ -134,6 +133,11 @@ def incremental(scores: DataFrame, order: list[str], value: str = "ndcg") -> Dat
     return means.select("config_name", F.round("m", 6).alias("mean"), F.round(F.col("m") - F.first("m").over(w), 6).alias("vs_first"), F.round(F.col("m") - F.lag("m").over(w), 6).alias("vs_previous"))
 
 
+def verdict(base: Column, significant: Column, gain: Column) -> Column:
+    """Whether a configuration earns its place: its gain over the base is significant and positive."""
+    return F.when(base, "base").when(F.coalesce(significant & (gain > 0), F.lit(False)), "earns it").otherwise("not shown")
+
+
 def worst_queries(scores: DataFrame, runs: DataFrame, qrels: DataFrame, limit: int = 10) -> DataFrame:
     """(config_name, query_id, ndcg, wanted, got): the lowest ndcg first; wanted and got are the best and the first three documents."""
     low = scores.filter("ndcg IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("config_name").orderBy("ndcg", "query_id"))).filter(F.col("r") <= limit)
@@ -187,7 +191,7 @@ def guard_sweep(judged: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6, 0.
     return grid.groupBy("threshold").agg(F.count_if(harmful & below).alias("blocked"), F.count_if(F.col("verdict").isin("rescued", "improved") & below).alias("lost"), F.count_if(harmful & ~below).alias("survivors"))
 
 
-def agreement(a: DataFrame, b: DataFrame, by: str) -> pd.DataFrame | DataFrame:
+def agreement(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     """(pairs, same_top, same_status) of two systems' results (by, top, status)."""
     both = a.select(by, F.col("top").alias("ta"), F.col("status").alias("sa")).join(b.select(by, F.col("top").alias("tb"), F.col("status").alias("sb")), by)
     return both.agg(F.count("*").alias("pairs"), F.count_if(F.col("ta") == F.col("tb")).alias("same_top"), F.count_if(F.col("sa") == F.col("sb")).alias("same_status"))

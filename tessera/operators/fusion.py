@@ -26,6 +26,14 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], by: str, item: str = "chun
     return rank_in_groups(both.groupBy(by, item).agg(F.round(F.sum("part"), 9).alias("score")), [by], "score", "rank", ties=[item])
 
 
+def combined(rankings: list[DataFrame], by: str, item: str = "chunk_id", k: int = RRF_K) -> DataFrame:
+    """(by, item, score, rank): a single ranking passes as it is, with the negative rank as its score; several are fused."""
+    if len(rankings) != 1:
+        return reciprocal_rank_fusion(rankings, by, item, k)
+    own = rankings[0].groupBy(by, item).agg((-F.min("rank")).cast("double").alias("score"))
+    return rank_in_groups(own, [by], "score", "rank", ties=[item])
+
+
 def distinct_hits(hits: DataFrame) -> DataFrame:
     """Exact repeats of hits removed."""
     return hits.distinct()

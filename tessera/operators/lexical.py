@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stem import stem
-from tessera.session import spread
+from tessera.session import cut, spread
 
 K1, B = 1.2, 0.75
+#: Different query terms that are broadcast to drop other tokens; terms that travel with one pass of the full-text search.
+BROADCAST_TERMS, PHRASES = 1_000_000, 200_000
 # The token pattern and the stop words.
 TOKEN = r"[A-Za-z]+(?:'[A-Za-z]+)?|\d+(?:\.\d+)+|\d+"
 STOP = (
@@ -56,15 +59,23 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 def bm25_plain(chunks: DataFrame, queries: DataFrame, k: int = 10, strategy: str = "structured") -> DataFrame:
     """(query_id, chunk_id, score, rank): BM25 over the text with whole tokens; statistics are those of the strategy.
 
-    Each different query term counts once. Queries without terms and chunks without text have no rows. Only tokens that some query
-    has are shuffled. Scores are rounded to 6 places and equal ones are ordered by chunk.
+    Each different query term counts once. Queries without terms and chunks without text have no rows. Scores are rounded to 6 places and equal
+    ones are ordered by chunk. Of a chunk_id with several texts the one with the greatest hash counts.
+
+    Texts are read and tokenised once and never shuffled: tokens that no query has are dropped where they arise, and counts alone move. What
+    is left, a row for each chunk and query term in it and one for each chunk's length, is written to the checkpoint folder.
     """
-    rows = spread(chunks.filter(F.col("strategy") == strategy)).groupBy("chunk_id").agg(F.max("text").alias("text")).select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    sized = rows.select("chunk_id", "t", F.size("t").alias("dl"))
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("query")))).alias("term"))
-    words = sized.select("chunk_id", "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = words.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    known = asked.select("term").distinct().unionByName(chunks.sparkSession.createDataFrame([("",)], "term string"))  # "" stands for the chunk itself
+    if known.count() <= BROADCAST_TERMS:
+        known = F.broadcast(known)
+    rows = spread(chunks.filter(F.col("strategy") == strategy).select("chunk_id", "text")).select("chunk_id", F.xxhash64("text").alias("h"), tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    words = rows.select("chunk_id", "h", F.size("t").alias("dl"), F.explode(F.array_append("t", F.lit(""))).alias("term")).join(known, "term", "left_semi")
+    counted = cut(words.groupBy("chunk_id", "h", "dl", "term").agg(F.count("*").alias("n")))
+    one = Window.partitionBy("chunk_id").orderBy(F.desc("h"))
+    sizes = counted.filter("term = ''").withColumn("r", F.row_number().over(one)).filter("r = 1").select("chunk_id", "h", "dl", F.col("n").alias("copies"))
+    corpus = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = counted.filter("term <> ''").select("chunk_id", "h", "term", "n").join(sizes, ["chunk_id", "h"]).select("term", "chunk_id", "dl", (F.col("n") / F.col("copies")).alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighed = tf.join(df, "term").crossJoin(F.broadcast(corpus)).select(  # one row
         "term", "chunk_id",
@@ -73,64 +84,79 @@ def bm25_plain(chunks: DataFrame, queries: DataFrame, k: int = 10, strategy: str
     return _best(asked.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")), k)
 
 
-@lru_cache(10_000)
-def _bare(c: str) -> str:
-    """A Latin letter without its diacritics; other characters stay, combining marks fall away."""
-    if unicodedata.combining(c):
-        return ""
-    base = unicodedata.normalize("NFD", c)[0]
-    return base if base.isascii() else c
+class _Bare(dict):
+    """Code point -> the Latin letter without its diacritics; other characters stay, combining marks fall away. Filled as they are met."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        base = unicodedata.normalize("NFD", c)[0]
+        self[code] = out = "" if unicodedata.combining(c) else base if base.isascii() else c
+        return out
+
+
+_BARE = _Bare()
+#: Letters, digits and private characters.
+_WORD = re.compile("(?:[^\\W_]|[\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd])+")
+_stem = lru_cache(1 << 17)(stem)
 
 
 def unicode_words(text: str | None) -> list[str]:
-    """Words of letters and digits, lower-cased, without diacritics, stemmed."""
-    bare = "".join(_bare(c) for c in (text or "").lower())
-    word, out = [], []
-    for c in bare + " ":
-        if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co":
-            word.append(c)
-        elif word:
-            out.append(stem("".join(word)))
-            word = []
-    return out
+    """Words of letters and digits, lower-cased, without diacritics, stemmed. A word is stemmed once in a worker."""
+    if not text:
+        return []
+    low = text.lower()
+    return [_stem(w) for w in _WORD.findall(low if low.isascii() else low.translate(_BARE))]
 
 
 def bm25_fulltext(chunks: DataFrame, queries: DataFrame, k: int = 10, strategy: str = "structured", heading_weight: float = 1.0) -> DataFrame:
     """(query_id, chunk_id, score, rank): BM25 with stemming, phrases and two columns, as a full-text index over all strategies.
 
     Statistics are those of all chunks; the strategy filters afterwards. A token that holds several words ("262.17") is a phrase within one
-    column. A repeated query token scores again. The inverse document frequency is at least 1e-6. Phrases come from the
-    queries, whose number is bounded; they travel with the task.
+    column. A repeated query token scores again. The inverse document frequency is at least 1e-6. The different terms of the queries travel with
+    the task in blocks of PHRASES; every block is another pass over the chunks. What a pass finds is written to the checkpoint folder.
     """
+    spark = chunks.sparkSession
     rows = chunks.select("chunk_id", "strategy", "heading_path", "text").dropDuplicates(["chunk_id"])
     asked = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    phrases: dict[str, list[tuple[str, tuple[str, ...]]]] = defaultdict(list)
-    listed = [r[0] for r in asked.select("term").distinct().limit(1_000_001).collect()]
-    if len(listed) > 1_000_000:
-        raise ValueError("too many query terms for one pass; give the queries in parts")
-    for term in listed:
-        if parts := tuple(unicode_words(term)):
-            phrases[parts[0]].append((term, parts))
-    index = chunks.sparkSession.sparkContext.broadcast(dict(phrases))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for chunk, kind, *columns in zip(*(c.to_pylist() for c in b.columns)):
-                found: dict[str, float] = defaultdict(float)
-                size = 0
-                for column, weight in zip(columns, (heading_weight, 1.0)):
-                    w = unicode_words(column)
-                    size += len(w)
-                    for i, x in enumerate(w):
-                        for term, parts in index.value.get(x, ()):
-                            if tuple(w[i : i + len(parts)]) == parts:
-                                found[term] += weight
-                out.append((chunk, kind, None, 0.0, size))
-                out += [(chunk, kind, term, f, size) for term, f in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64()))], names=["chunk_id", "strategy", "term", "f", "dl"])
-
-    counted = rows.mapInArrow(run, "chunk_id string, strategy string, term string, f double, dl bigint")
+    passes: list[DataFrame] = []
+
+    def search(terms: list[str]) -> None:
+        phrases: dict[str, list[tuple[str, tuple[str, ...]]]] = defaultdict(list)
+        for term in terms:
+            if parts := tuple(unicode_words(term)):
+                phrases[parts[0]].append((term, parts))
+        index = spark.sparkContext.broadcast(dict(phrases))
+        sized = not passes  # the first pass also gives the chunks' sizes
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[tuple] = []
+                for chunk, kind, *columns in zip(*(c.to_pylist() for c in b.columns)):
+                    found: dict[str, float] = defaultdict(float)
+                    size = 0
+                    for column, weight in zip(columns, (heading_weight, 1.0)):
+                        w = unicode_words(column)
+                        size += len(w)
+                        for i, x in enumerate(w):
+                            for term, parts in index.value.get(x, ()):
+                                if len(parts) == 1 or tuple(w[i : i + len(parts)]) == parts:
+                                    found[term] += weight
+                    if sized:
+                        out.append((chunk, kind, None, 0.0, size))
+                    out += [(chunk, kind, term, f, size) for term, f in found.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64()))], names=["chunk_id", "strategy", "term", "f", "dl"])
+
+        passes.append(cut(rows.mapInArrow(run, "chunk_id string, strategy string, term string, f double, dl bigint")))
+
+    held: list[str] = []
+    for r in asked.select("term").distinct().toLocalIterator():
+        held.append(r[0])
+        if len(held) == PHRASES:
+            search(held)
+            held = []
+    if held or not passes:
+        search(held)
+    counted = reduce(DataFrame.unionByName, passes)
     corpus = counted.filter("term IS NULL").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     hits = counted.filter("term IS NOT NULL")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))

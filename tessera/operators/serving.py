@@ -8,7 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAILY, CACHE_COSINE, CAPACITY, REFILL = 500, 0.97, 60.0, 1.0
+DAILY, CACHE_COSINE, MOST_K = 500, 0.97, 20
+#: Tokens and refill a second of the search and of the far dearer answer requests.
+CAPACITY, REFILL = 60.0, 1.0
+ANSWER_CAPACITY, ANSWER_REFILL = 8.0, 0.05
 
 
 def query_key(query: Column) -> Column:
@@ -35,14 +38,33 @@ def prompts(hits: DataFrame, by: str = "query_id") -> DataFrame:
     return rows.select(by, F.concat(F.array_join(F.transform("all", lambda x: x["s"]), "\n\n---\n\n"), F.lit("\n\nQuestion: "), F.coalesce("query", F.lit(""))).alias("prompt"))
 
 
-def guard(query: Column, strategy: Column, k: Column) -> Column:
-    """Status of a request: blank, too long, unknown strategy, or ok. (k is only ever lowered, to 20.)"""
+def guard(query: Column, strategy: Column) -> Column:
+    """Status of a request: blank, too long, unknown strategy, or ok."""
     return (
         F.when(F.coalesce(F.trim(query), F.lit("")) == "", 400).when(F.length(query) > 500, 413)
         .when(~F.coalesce(strategy, F.lit("")).isin("fixed", "section", "structured", "contextual"), 400).otherwise(200)
     )
 
 
+def served_k(k: Column, most: int = MOST_K) -> Column:
+    """How many results are served: what was asked for, ``most`` at most."""
+    return F.least(k, F.lit(most))
+
+
+def grade_guard(grade: Column) -> Column:
+    """Status of a judgement: ok for the grades 0 to 3, else, and for null, refused."""
+    return F.when(grade.between(0, 3), 200).otherwise(400)
+
+
+def cache_put(cache: DataFrame, entries: DataFrame, payload: list[str], at: str, ties: str) -> DataFrame:
+    """(key, *payload, at): the cache with the entries (query, *payload, at) put in. Of one key the newest stays, of equally new ones the one
+    with the greatest ``ties``. Only the newest of each key in a task is shuffled."""
+    fresh = entries.select(query_key(F.col("query")).alias("key"), *payload, at)
+    both = cache.select("key", *payload, at).unionByName(fresh).filter(F.col("key").isNotNull())
+    newest = both.groupBy("key").agg(F.max_by(F.struct(*payload, at), F.struct(F.col(at), F.col(ties))).alias("m"))
+    return newest.select("key", *(F.col(f"m.{c}").alias(c) for c in payload), F.col(f"m.{at}").alias(at))
+
+
 def client_key(forwarded: Column, host: Column) -> Column:
     first = F.trim(F.split_part(forwarded, F.lit(","), F.lit(1)))
     return F.coalesce(F.nullif(first, F.lit("")), host, F.lit("unknown"))

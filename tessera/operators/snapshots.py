@@ -1,8 +1,9 @@
 """What changed between full snapshots: bitmaps of persistent ordinals, and column vectors aligned to them.
 
-Every key gets an ordinal that it keeps in all snapshots. A snapshot is then, for each range of ordinals, a bitmap of the keys that
-it holds and a vector of digests at the ordinals' places. Added is new AND NOT old, removed is old AND NOT new, and where
-both have a bit the digests are compared. A range holds RANGE ordinals, so a task's memory is bounded whatever the tables' size.
+Every key gets an ordinal that it keeps in all snapshots, and in later deliveries where the map is stored. A snapshot is then, for each
+range of ordinals, a compressed bitmap of the keys that it holds and a vector of digests in the ordinals' order. Added is new AND NOT old,
+removed is old AND NOT new, and where both have a bit the digests are compared. A range holds RANGE ordinals, so a task's memory
+is bounded whatever the tables' size.
 """
 
 from __future__ import annotations
@@ -17,6 +18,47 @@ from tessera.session import cut
 RANGE = 1 << 15
 
 
+class Bitmap:
+    """Ordinals of one range, held as a sorted list where they are few, else as bits: at most RANGE / 8 bytes either way."""
+
+    #: Members from which bits are smaller than a list of 16-bit numbers.
+    MANY = RANGE // 16
+
+    def __init__(self, few: np.ndarray | None, bits: np.ndarray | None):
+        self.few, self.bits = few, bits
+
+    @staticmethod
+    def of(at: np.ndarray) -> Bitmap:
+        own = np.unique(at).astype(np.uint16)
+        if len(own) < Bitmap.MANY:
+            return Bitmap(own, None)
+        there = np.zeros(RANGE, bool)
+        there[own] = True
+        return Bitmap(None, np.packbits(there))
+
+    def members(self) -> np.ndarray:
+        return (np.flatnonzero(np.unpackbits(self.bits)) if self.few is None else self.few).astype(np.int64)
+
+    def _of(self, at: np.ndarray) -> np.ndarray:
+        """Whether each of the ordinals is a member."""
+        if self.few is None:
+            return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return np.isin(at, self.few, assume_unique=True)
+
+    def and_not(self, other: Bitmap) -> np.ndarray:
+        if self.few is None and other.few is None:
+            return np.flatnonzero(np.unpackbits(self.bits & ~other.bits))
+        own = self.members()
+        return own[~other._of(own)]
+
+    def and_(self, other: Bitmap) -> np.ndarray:
+        if self.few is None and other.few is None:
+            return np.flatnonzero(np.unpackbits(self.bits & other.bits))
+        small, large = (self, other) if self.few is not None else (other, self)
+        own = small.members()
+        return own[large._of(own)]
+
+
 def ordinals(keys: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
     """(key, ordinal): dense numbers from 0 for the different keys that aren't null.
 
@@ -58,23 +100,33 @@ def snapshot_changes(df: DataFrame, snapshot: str = "snapshot_id", key: str = "d
     def compare(group: tuple, t: pa.Table) -> pa.Table:
         block, pair = group[0].as_py(), group[1].as_py()
         at, new = t.column("at").to_numpy(), t.column("new").to_numpy(zero_copy_only=False)
-        bits, vectors = [], []
-        for side in (False, True):
-            own = at[new == side]
-            there = np.zeros(RANGE, bool)
-            there[own] = True
-            vector = np.zeros((RANGE, 2), np.int64)
-            for i, n in enumerate("pq"):
-                vector[own, i] = t.column(n).to_numpy()[new == side]
-            bits.append(np.packbits(there))
-            vectors.append(vector)
-        old, now = bits
-        of = lambda b: np.flatnonzero(np.unpackbits(b))
-        added, removed, common = of(now & ~old), of(old & ~now), of(now & old)
-        changed = common[(vectors[0][common] != vectors[1][common]).any(axis=1)]
+        old_side, now_side = (Bitmap.of(at[new == side]) for side in (False, True))
+        added, removed, common = now_side.and_not(old_side), old_side.and_not(now_side), now_side.and_(old_side)
+        # vectors of digests in the order of the ordinals; a place in them is the number of ordinals below
+        digests = np.column_stack([t.column(n).to_numpy() for n in "pq"])
+        vectors = [digests[new == side][np.argsort(at[new == side], kind="stable")] for side in (False, True)]
+        old_ats, now_ats = old_side.members(), now_side.members()
+        differ = vectors[0][np.searchsorted(old_ats, common)] != vectors[1][np.searchsorted(now_ats, common)]
+        changed = common[differ.any(axis=1)]
         where = np.concatenate([added, removed, changed]).astype(np.int64)
         return pa.table({"pair": pa.array(np.full(len(where), pair), pa.int32()), "ordinal": block * RANGE + where, "change": ["added"] * len(added) + ["removed"] * len(removed) + ["changed"] * len(changed)})
 
     found = sides.groupBy("block", "pair").applyInArrow(compare, "pair int, ordinal bigint, change string")
     # pair 1 has no older side, and beyond the last there is no snapshot
     return found.filter("pair > 1").join(F.broadcast(order), "pair").join(numbers, "ordinal").select(snapshot, key, "change")
+
+
+def stored_ordinals(keys: DataFrame, key: str, path: str) -> DataFrame:
+    """(key, ordinal) for all keys met so far, kept as parquet under ``path``: what is there stays, and new keys are appended.
+
+    Every delivery is numbered through it before it is compared, with ``snapshot_changes(..., known=...)``. Only one writer at a time. A
+    job that failed while it appended leaves nothing behind, as the rows of one append come into being together.
+    """
+    spark = keys.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    known = spark.read.parquet(path) if there else None
+    numbered = ordinals(keys, key, known)
+    fresh = numbered if known is None else numbered.join(known, key, "left_anti")
+    fresh.write.mode("append").parquet(path)
+    return spark.read.parquet(path)

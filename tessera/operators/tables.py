@@ -17,6 +17,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str, update: list[str], insert_o
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *kept, *taken)
 
 
+def lookup(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of a key, or none. The condition reaches the scan, where row groups are skipped by their statistics."""
+    return df.filter(F.col(key) == F.lit(value)).limit(1)
+
+
 def suffix_duplicates(df: DataFrame, key: str, order: str, name: str = "unique_key") -> DataFrame:
     """Adds ``name``: the key, with ~1, ~2 and so on for its repeats in the order of a unique number. Null keys stay null."""
     numbered = rank_in_groups(df.withColumn("__at", -F.col(order)), [key], "__at", "__n", ties=[order])

@@ -120,6 +120,12 @@ def rrf_weighted(s, d):
     return fusion.reciprocal_rank_fusion([_given(s, d, "lexical_rank"), _given(s, d, "dense_rank")], "search_id", weights=[2.0, 1.0])
 
 
+@query
+def single_list(s, d):
+    """One retriever alone: its list passes as it is, without fusion."""
+    return fusion.combined([_given(s, d, "lexical_rank")], "search_id")
+
+
 @query
 def provenance_ranks(s, d):
     a, b = _given(s, d, "lexical_rank").withColumnRenamed("rank", "lexical_rank"), _given(s, d, "dense_rank").withColumnRenamed("rank", "dense_rank")
@@ -209,12 +215,6 @@ def latency_percentile(s, d):
 
 @query
 def bootstrap_ci(s, d):
-    """200 iterations on arithmetic places, as its SQL states; bootstrap_ci_resampled is the reference's interval."""
-    return evaluation.bootstrap(_metrics(s, d), "config_name", "query_id", "ndcg", 200, evaluation.resample_index)
-
-
-@query
-def bootstrap_ci_resampled(s, d):
     return evaluation.bootstrap(_metrics(s, d), "config_name", "query_id", "ndcg")
 
 
@@ -226,19 +226,14 @@ def _deltas(s, d):
 
 @query
 def paired_bootstrap(s, d):
-    """200 iterations on arithmetic places, as its SQL states; paired_bootstrap_resampled is the reference's interval."""
-    got = evaluation.bootstrap(_deltas(s, d), "config_name", "query_id", "delta", 200, evaluation.resample_index)
-    return got.withColumn("significant", evaluation.significant(F.col("lo"), F.col("hi")))
-
-
-@query
-def paired_bootstrap_resampled(s, d):
     return evaluation.paired(_deltas(s, d), "config_name", "query_id", "delta")
 
 
 @query
 def incremental_delta(s, d):
-    return evaluation.incremental(_metrics(s, d), CONFIGS)
+    return evaluation.incremental(_metrics(s, d), CONFIGS).join(
+        evaluation.paired(_deltas(s, d), "config_name", "query_id", "delta").select("config_name", F.col("mean").alias("gain"), "lo", "hi", "significant"), "config_name", "left"
+    ).select("config_name", "mean", "vs_first", "vs_previous", "lo", "hi", evaluation.verdict(F.col("config_name") == CONFIGS[0], F.col("significant"), F.col("gain")).alias("verdict"))
 
 
 @query
@@ -248,7 +243,8 @@ def worst_queries(s, d):
 
 @query
 def pool_candidates(s, d):
-    return evaluation.pool(_runs(s, d), _judged(s, d))
+    about = table(s, d, "documents").select("doc_id", "citation", "heading", quotes.snippet(F.col("text"), 600).alias("snippet"))
+    return evaluation.pool(_runs(s, d), _judged(s, d)).join(about, "doc_id", "left")
 
 
 @query
@@ -380,7 +376,7 @@ def offset_audit(s, d):
 
 def _quoted(s, d):
     chunks = table(s, d, "chunks").filter("strategy = 'structured'").dropDuplicates(["chunk_id"])
-    return chunks.select("chunk_id", "doc_id", F.substring("text", 1, 80).alias("quote")).join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    return chunks.select("chunk_id", "doc_id", F.col("text").alias("quote")).join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query
@@ -397,7 +393,7 @@ def fuzzy_quotes(s, d):
 @query
 def verify_citations(s, d):
     sources = _hydrated(s, d).select(F.col("search_id").alias("query_id"), F.col("rank").alias("place"), "chunk_id", "char_start", "text")
-    real = sources.select("query_id", F.col("place").cast("string").alias("source"), F.substring("text", 1, 60).alias("quote"))
+    real = sources.select("query_id", F.col("place").cast("string").alias("source"), F.col("text").alias("quote"))
     wrong = sources.select("query_id", F.lit("n/a").alias("source"), F.lit("a quote without any source").alias("quote")).distinct()
     return quotes.verify_citations(real.unionByName(wrong), sources, fuzzy=False)[1]
 
@@ -430,6 +426,11 @@ def highlight_spans(s, d):
     return c.select("chunk_id", F.md5(quotes.highlight(F.col("doc"), F.col("char_start"), F.col("char_end"))).alias("marked"))
 
 
+@query
+def index_text(s, d):
+    return table(s, d, "chunks").distinct().select("chunk_id", F.md5(chunking.index_text(F.col("context"), F.col("text"))).alias("indexed")).distinct()
+
+
 # --- budgets, limits, guards
 
 
@@ -460,7 +461,19 @@ def client_key(s, d):
 
 @query
 def guard_status(s, d):
-    return table(s, d, "queries").select("query_id", serving.guard(F.col("query"), F.coalesce("type", F.lit("structured")), F.lit(10)).alias("status"))
+    return table(s, d, "queries").select("query_id", serving.guard(F.col("query"), F.coalesce("type", F.lit("structured"))).alias("status"), serving.served_k(F.length("query")).alias("k"))
+
+
+@query
+def grade_guard(s, d):
+    return table(s, d, "qrels").distinct().select("query_id", "doc_id", "judged_at", serving.grade_guard(F.col("grade") - 1).alias("status"))
+
+
+@query
+def cache_put(s, d):
+    answered = table(s, d, "hits").select("query_id", "search_id", "searched_at").distinct().join(table(s, d, "queries").select("query_id", "query"), "query_id")
+    old = answered.filter("search_id % 3 = 0").select(serving.query_key(F.col("query")).alias("key"), "search_id", "searched_at")
+    return serving.cache_put(old, answered, ["search_id"], "searched_at", "search_id").select("key", "search_id")
 
 
 # --- tables
@@ -471,13 +484,19 @@ def p6_found(s, d):
     return snapshots.snapshot_changes(table(s, d, "doc_snapshots"))
 
 
+@query
+def point_lookup(s, d):
+    documents = table(s, d, "documents")
+    return tables.lookup(documents, "doc_id", documents.agg(F.max("doc_id")).first()[0]).select("doc_id", "heading", "citation", "n_chars")
+
+
 @query
 def upsert_documents(s, d):
     snaps = table(s, d, "doc_snapshots")
     order = Window.partitionBy("doc_id").orderBy(F.desc("snapshot_id"), F.desc_nulls_last("fetched_at"), "heading", "text")
     newest = snaps.withColumn("r", F.row_number().over(order)).filter("r = 1").withColumns({"title": F.lit("new"), "part": F.lit("new")})
     both = tables.upsert(table(s, d, "documents"), newest, "doc_id", ["heading", "text"], ["title", "part"])
-    return both.select("doc_id", "title", "part", "heading", F.length("text").alias("n"))
+    return both.select("doc_id", "title", "part", "heading", F.md5("text").alias("text"))
 
 
 @query

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-_TOKEN = r"[A-Za-z]+(?:''[A-Za-z]+)?|\d+(?:\.\d+)+|\d+"
-# The stop words.
-_STOP = (
-    "a an the and or of to in for on at by is are was were be been being as "
-    "that this these those it its from with which what when where who whom how "
-    "do does did can could shall should may might must will would i you we they "
-    "my your our their there here if then than so such not no nor but"
-).split()
-_STOPS = "[" + ", ".join(f"'{w}'" for w in _STOP) + "]"
+from tessera.operators.lexical import STOP, TOKEN
+
+_TOKEN = TOKEN.replace("'", "''")
+_STOPS = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
 _TOK = f"regexp_extract_all(lower(%s), '{_TOKEN}')"
 _TERMS = f"""q AS (SELECT query_id, query, list_filter({_TOK % "query"}, lambda x: length(x) > 1) AS long FROM queries),
  terms AS (SELECT query_id, CASE WHEN len(list_filter(long, lambda x: NOT list_contains({_STOPS}, x))) > 0 THEN list_filter(long, lambda x: NOT list_contains({_STOPS}, x)) ELSE long END AS t FROM q)"""
@@ -52,17 +47,23 @@ def _gated(tau: str, on: str) -> str:
 
 
 def _bootstrap(values: str, extra: str = "") -> str:
-    """values: a relation v (by, item, v) without nulls."""
+    """values: a relation v (by, item, v) without nulls. 1,000 iterations, places drawn by md5."""
     return f"""{values},
  n AS (SELECT config_name, count(*) AS n, avg(v) AS m FROM v GROUP BY ALL),
  placed_v AS (SELECT config_name, v, row_number() OVER (PARTITION BY config_name ORDER BY query_id) - 1 AS place FROM v),
- draws AS (SELECT config_name, n, i, unnest(range(n)) AS d FROM (SELECT config_name, n, unnest(range(200)) AS i FROM n WHERE n > 1)),
- means AS (SELECT config_name, i, round(avg(v), 9) AS mean FROM (SELECT config_name, i, ((((i * 1000003 + d * 7919 + 20240901) % 2147483647) * 48271) % 2147483647) % n AS place FROM draws) JOIN placed_v USING (config_name, place) GROUP BY ALL),
+ draws AS (SELECT config_name, n, i, unnest(range(n)) AS d FROM (SELECT config_name, n, unnest(range(1000)) AS i FROM n WHERE n > 1)),
+ means AS (SELECT config_name, i, round(avg(v), 9) AS mean FROM (SELECT config_name, i, ('0x' || substr(md5('20240901:' || i || ':' || d), 1, 15))::BIGINT % n AS place FROM draws) JOIN placed_v USING (config_name, place) GROUP BY ALL),
  s AS (SELECT config_name, list_sort(list(mean)) AS s, avg(CASE WHEN mean > 0 THEN 1.0 ELSE 0.0 END) AS p FROM means GROUP BY ALL),
- b AS (SELECT config_name, round(m, 6) AS mean, round(coalesce(s[6], m), 6) AS lo, round(coalesce(s[196], m), 6) AS hi, round(p, 6) AS p_better FROM n LEFT JOIN s USING (config_name))
+ b AS (SELECT config_name, round(m, 6) AS mean, round(coalesce(s[26], m), 6) AS lo, round(coalesce(s[976], m), 6) AS hi, round(p, 6) AS p_better FROM n LEFT JOIN s USING (config_name))
  SELECT *{extra} FROM b"""
 
 
+#: Fewer than two pairs have no interval.
+_PAIRED = f"""v AS (SELECT a.config_name, query_id, a.ndcg - b.ndcg AS v FROM m a JOIN m b USING (query_id) WHERE a.config_name <> 'bm25' AND b.config_name = 'bm25' AND a.ndcg - b.ndcg IS NOT NULL),
+ pb AS (WITH {_bootstrap("z AS (SELECT 1)")}) SELECT config_name, {", ".join(f"CASE WHEN p_better IS NULL THEN 'nan'::DOUBLE ELSE {c} END AS {c}" for c in ("mean", "lo", "hi", "p_better"))},
+ p_better IS NOT NULL AND (lo > 0 OR hi < 0) AS significant FROM pb"""
+
+
 def _dense(queries: str, items: str, item: str, k: int = 10) -> str:
     return f"""(SELECT * FROM (SELECT query_id, {item}, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {item}) AS rank FROM
  (SELECT q.id AS query_id, x.id AS {item}, round(list_cosine_similarity(q.v, x.v), 6) AS score FROM {queries} q, {items} x)) WHERE rank <= {k})"""
@@ -138,13 +139,14 @@ SQL: dict[str, str] = {
     "latency_percentile": """WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
  SELECT event_type, max(value) FILTER (r = least(n, floor(0.5 * n) + 1)) AS p50, max(value) FILTER (r = least(n, floor(0.95 * n) + 1)) AS p95 FROM e GROUP BY event_type""",
     "bootstrap_ci": f"WITH {_METRICS}, " + _bootstrap("v AS (SELECT config_name, query_id, ndcg AS v FROM m WHERE ndcg IS NOT NULL)"),
-    "paired_bootstrap": f"WITH {_METRICS}, " + _bootstrap("v AS (SELECT a.config_name, query_id, a.ndcg - b.ndcg AS v FROM m a JOIN m b USING (query_id) WHERE a.config_name <> 'bm25' AND b.config_name = 'bm25' AND a.ndcg - b.ndcg IS NOT NULL)", ", lo > 0 OR hi < 0 AS significant"),
-    "incremental_delta": f"""WITH {_METRICS}, a AS (SELECT config_name, avg(ndcg) AS m, list_position(['bm25', 'dense', 'hybrid', 'weighted'], config_name) AS p FROM m GROUP BY config_name)
- SELECT config_name, round(m, 6) AS mean, round(m - first(m) OVER (ORDER BY p), 6) AS vs_first, round(m - lag(m) OVER (ORDER BY p), 6) AS vs_previous FROM a""",
+    "paired_bootstrap": f"WITH {_METRICS}, {_PAIRED}",
+    "incremental_delta": f"""WITH {_METRICS}, a AS (SELECT config_name, avg(ndcg) AS m, list_position(['bm25', 'dense', 'hybrid', 'weighted'], config_name) AS p FROM m GROUP BY config_name), x AS (WITH {_PAIRED})
+ SELECT config_name, round(m, 6) AS mean, round(m - first(m) OVER (ORDER BY p), 6) AS vs_first, round(m - lag(m) OVER (ORDER BY p), 6) AS vs_previous, lo, hi,
+  CASE WHEN p = 1 THEN 'base' WHEN significant AND x.mean > 0 THEN 'earns it' ELSE 'not shown' END AS verdict FROM a LEFT JOIN x USING (config_name)""",
     "worst_queries": f"""WITH {_METRICS}, low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config_name ORDER BY ndcg, query_id) AS r FROM m WHERE ndcg IS NOT NULL) WHERE r <= 10),
  want AS (SELECT query_id, string_agg(doc_id, ',' ORDER BY p) AS wanted FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id DESC) AS p FROM j WHERE grade > 0) WHERE p <= 3 GROUP BY query_id),
  got AS (SELECT config_name, query_id, string_agg(doc_id, ',' ORDER BY rank) AS got FROM runs WHERE rank <= 3 GROUP BY ALL) SELECT config_name, query_id, ndcg, wanted, got FROM low LEFT JOIN want USING (query_id) LEFT JOIN got USING (config_name, query_id)""",
-    "pool_candidates": f"WITH {_POOL} SELECT * FROM pool",
+    "pool_candidates": rf"WITH {_POOL} SELECT pool.*, citation, heading, substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 600) AS snippet FROM pool LEFT JOIN documents USING (doc_id)",
     "pool_pending_page": f"WITH {_POOL} SELECT query_id, doc_id, place FROM pool ORDER BY query_id, place LIMIT 20 OFFSET 20",
     "blind_dump": f"WITH {_POOL} SELECT query_id, doc_id FROM (SELECT *, dense_rank() OVER (ORDER BY query_id) AS q FROM pool) WHERE q <= 10",
     "calibrate_tau": f"WITH {_SWEEP} SELECT * FROM sweep",
@@ -158,9 +160,9 @@ SQL: dict[str, str] = {
  SELECT doc_id, 0 AS ordinal, l::INT AS char_start, (l + n)::INT AS char_end FROM t""",
     "offset_audit": r"""WITH c AS (SELECT DISTINCT chunk_id, doc_id, strategy, char_start, char_end, text FROM chunks)
  SELECT strategy, count(*) AS checked, count(*) FILTER (regexp_replace(substring(d.text, char_start + 1, char_end - char_start), '^\s+|\s+$', '', 'g') <> regexp_replace(c.text, '^\s+|\s+$', '', 'g')) AS bad FROM c JOIN documents d USING (doc_id) GROUP BY strategy""",
-    "exact_quote_match": f"""WITH c AS (SELECT DISTINCT chunk_id, doc_id, substring(text, 1, 80) AS q FROM chunks WHERE strategy = 'structured')
+    "exact_quote_match": f"""WITH c AS (SELECT DISTINCT chunk_id, doc_id, text AS q FROM chunks WHERE strategy = 'structured')
  SELECT chunk_id, length({_FOLD % 'q'}) >= 12 AND contains({_FOLD % 'd.text'}, {_FOLD % 'q'}) AS found FROM c JOIN documents d USING (doc_id)""",
-    "verify_citations": f"WITH {_HYD} SELECT search_id AS query_id, count(*) FILTER (length({_FOLD % 'substring(text, 1, 60)'}) >= 12) AS verified, count(*) FILTER (length({_FOLD % 'substring(text, 1, 60)'}) < 12) + 1 AS dropped FROM hyd GROUP BY search_id",
+    "verify_citations": f"WITH {_HYD} SELECT search_id AS query_id, count(*) FILTER (length({_FOLD % 'text'}) >= 12) AS verified, count(*) FILTER (length({_FOLD % 'text'}) < 12) + 1 AS dropped FROM hyd GROUP BY search_id",
     "prompt_assembly": f"""WITH {_HYD} SELECT search_id, md5(string_agg('[' || rank || '] ' || coalesce(citation, '') || ' - ' || coalesce(heading, '') || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)
  || chr(10) || chr(10) || 'Question: ' || coalesce(max(query), '')) AS prompt FROM hyd JOIN queries USING (query_id) GROUP BY search_id""",
     "highlight_spans": """WITH c AS (SELECT DISTINCT chunk_id, doc_id, char_start AS s, char_end AS e FROM chunks) SELECT chunk_id, md5(CASE WHEN s >= 0 AND s < e AND e <= length(text) THEN substring(text, 1, s) || '[[' || substring(text, s + 1, e - s) || ']]' || substring(text, e + 1) ELSE text END) AS marked
@@ -172,7 +174,12 @@ SQL: dict[str, str] = {
  SELECT event_id, user_id, had >= 1 AS allowed, round(CASE WHEN had >= 1 THEN 0.0 ELSE (1 - had) * 86400 END, 1) AS wait FROM b""",
     "retry_after": "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 OR value IS NULL THEN 86400.0::DOUBLE ELSE round(value, 1) END AS seconds FROM events",
     "client_key": """SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN '10.0.0.' || (event_id % 256) END, CASE WHEN event_id % 4 > 0 THEN 'h' || user_id END, 'unknown') AS client FROM events""",
-    "guard_status": "SELECT query_id, CASE WHEN coalesce(trim(query), '') = '' THEN 400 WHEN length(query) > 500 THEN 413 WHEN coalesce(type, 'structured') NOT IN ('fixed', 'section', 'structured', 'contextual') THEN 400 ELSE 200 END AS status FROM queries",
+    "guard_status": "SELECT query_id, CASE WHEN coalesce(trim(query), '') = '' THEN 400 WHEN length(query) > 500 THEN 413 WHEN coalesce(type, 'structured') NOT IN ('fixed', 'section', 'structured', 'contextual') THEN 400 ELSE 200 END AS status, least(length(query), 20)::INT AS k FROM queries",
+    "grade_guard": "SELECT query_id, doc_id, judged_at, CASE WHEN grade - 1 BETWEEN 0 AND 3 THEN 200 ELSE 400 END AS status FROM (SELECT DISTINCT * FROM qrels)",
+    "index_text": "SELECT DISTINCT chunk_id, md5(CASE WHEN coalesce(context, '') <> '' THEN context || chr(10) || text ELSE text END) AS indexed FROM chunks",
+    "cache_put": "SELECT key, search_id FROM (SELECT sha256(lower(trim(query))) AS key, search_id, row_number() OVER (PARTITION BY sha256(lower(trim(query))) ORDER BY searched_at DESC, search_id DESC) AS r FROM (SELECT DISTINCT query_id, search_id, searched_at FROM hits) JOIN queries USING (query_id)) WHERE r = 1",
+    "point_lookup": "SELECT doc_id, heading, citation, n_chars FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents)",
+    "single_list": _RRF.split(" UNION ALL ")[0].replace("{w} / (60 + lexical_rank) AS part, 1 AS l", "-lexical_rank::DOUBLE AS part") + ") GROUP BY ALL)",
     "p6_found": """WITH s AS (SELECT snapshot_id, doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, doc_id ORDER BY fetched_at DESC NULLS LAST) AS r FROM doc_snapshots) WHERE r = 1),
  p AS (SELECT snapshot_id AS cur, lag(snapshot_id) OVER (ORDER BY snapshot_id) AS prev FROM (SELECT DISTINCT snapshot_id FROM doc_snapshots)),
  n AS (SELECT p.cur, s.doc_id, s.text FROM p JOIN s ON s.snapshot_id = p.cur WHERE prev IS NOT NULL), o AS (SELECT p.cur, s.doc_id, s.text FROM p JOIN s ON s.snapshot_id = p.prev)
@@ -180,7 +187,7 @@ SQL: dict[str, str] = {
  FROM n FULL JOIN o ON n.cur = o.cur AND n.doc_id = o.doc_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR n.text IS DISTINCT FROM o.text""",
     "upsert_documents": """WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY snapshot_id DESC, fetched_at DESC NULLS LAST, heading NULLS FIRST, text NULLS FIRST) AS r FROM doc_snapshots) WHERE r = 1)
  SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' ELSE o.title END AS title, CASE WHEN o.doc_id IS NULL THEN 'new' ELSE o.part END AS part, CASE WHEN n.doc_id IS NULL THEN o.heading ELSE n.heading END AS heading,
- length(CASE WHEN n.doc_id IS NULL THEN o.text ELSE n.text END)::INT AS n FROM documents o FULL JOIN n ON o.doc_id = n.doc_id""",
+ md5(CASE WHEN n.doc_id IS NULL THEN o.text ELSE n.text END) AS text FROM documents o FULL JOIN n ON o.doc_id = n.doc_id""",
     "qrels_merge": f"WITH {_QRELS} SELECT * FROM j",
     "qrels_status": f"""WITH {_QRELS} SELECT 'judged_by' AS what, judged_by AS value, count(*) AS n, count(DISTINCT query_id) FILTER (grade > 0) AS answerable FROM j GROUP BY judged_by
  UNION ALL SELECT 'grade', grade::VARCHAR, count(*), count(DISTINCT query_id) FILTER (grade > 0) FROM j GROUP BY grade""",
@@ -200,19 +207,4 @@ SQL: dict[str, str] = {
 }
 
 
-def _resampled(sql: str) -> str:
-    """A bootstrap's SQL with 1,000 iterations and places drawn by md5."""
-    swaps = {
-        "range(200)": "range(1000)", "s[6]": "s[26]", "s[196]": "s[976]",
-        "((((i * 1000003 + d * 7919 + 20240901) % 2147483647) * 48271) % 2147483647) % n": "('0x' || substr(md5('20240901:' || i || ':' || d), 1, 15))::BIGINT % n",
-    }
-    for old, new in swaps.items():
-        sql = sql.replace(old, new)
-    return sql
-
-
-SQL["bootstrap_ci_resampled"] = _resampled(SQL["bootstrap_ci"])
-# less than two pairs have no interval
-SQL["paired_bootstrap_resampled"] = f"""SELECT config_name, {", ".join(f"CASE WHEN p_better IS NULL THEN 'nan'::DOUBLE ELSE {c} END AS {c}" for c in ("mean", "lo", "hi", "p_better"))},
- p_better IS NOT NULL AND significant AS significant FROM ({_resampled(SQL["paired_bootstrap"])})"""
 SQL["best_tau_targets"] = SQL["best_tau"].replace("accuracy >= 0 AND false_abstain <= 1 ", "accuracy >= 0.90 AND false_abstain <= 0.05 ")

@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -30,12 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the checkpoint folder and go on from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    temporary folder is made. Lost executors don't matter afterwards: the files are in the shared folder.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a temporary folder is made on a local master, as in tests;
+    any other master raises, since executors don't share such a folder. Lost executors don't matter afterwards: the files
+    are in the shared folder. They are removed with their frame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 

@@ -23,6 +23,14 @@ def export_qrels(qrels: DataFrame, path: str) -> None:
     write_jsonl(qrels.orderBy("query_id", "doc_id"), path)
 
 
+def import_qrels(spark: SparkSession, path: str, existing: DataFrame) -> DataFrame:
+    """``existing`` judgements with those of a file of JSON lines merged in: a human one is only replaced by a later human one."""
+    from tessera.operators.evaluation import merged_qrels
+
+    columns = ["query_id", "doc_id", "grade", "judged_by", "judged_at"]
+    return merged_qrels(existing.select(*columns).unionByName(read_jsonl(spark, path, QRELS).select(*columns)))
+
+
 def citation_from_metadata(meta: Column, title: Column, section: Column) -> Column:
     """The citation in escaped JSON metadata, or one made of title and section."""
     plain = F.regexp_replace(F.regexp_replace(meta, "&amp;quot;", '"'), "&quot;", '"')
