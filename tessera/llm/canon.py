@@ -25,9 +25,10 @@ from tessera.session import cut, spread
 
 LEAST = 200
 
-# Letters of other scripts and the Latin letters they look like.
-_CYRILLIC = ("АВЕЅІЈКМНОРСТУХҮԌԚԜасеѕіјорухһԁԛԝ", "ABESIJKMHOPCTYXYGQWacesijopyxhdqw")
-_GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳ", "ABEZHIKMNOPTYXoj")
+# Letters of other scripts and the Latin letters they look like, by Unicode's table of confusable characters (which holds I
+# and l for one; the letter of the same case is taken here).
+_CYRILLIC = ("ЅІЈАВЕКМНОРСТУХЬагеорсухѕіјѡѴѵҮүһҽӀӏԁԌԚԛԜԝꙇ", "SIJABEKMHOPCTYXbareopcyxsijwVvYyheIldGQqWwi")
+_GREEK = ("ͿΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγινορσυϒϜϱϲϳϹϺ", "JABEZHIKMNOPTYXayivopouYFpcjCM")
 
 
 def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
@@ -77,8 +78,8 @@ def _translate(c: Column, table: dict[str, str]) -> Column:
 
 
 def _expanded(c: Column) -> Column:
-    """Latin ligatures as their letters."""
-    own = [(k, v) for k, v in _LIGATURES.items() if ord(k) < 0x200 or 0xFB00 <= ord(k) <= 0xFB06]
+    """Ligatures as their letters."""
+    own = list(_LIGATURES.items())
     letters = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), own, c)
     return F.when(c.rlike("[" + "".join(k for k, _ in own) + "]"), letters).otherwise(c)
 
@@ -96,23 +97,26 @@ def rough(c: Column) -> Column:
     return F.xxhash64(F.when(c.rlike(_UNUSUAL), _translate(_expanded(c), both)).otherwise(c))
 
 
-def look_alike_classes(df: DataFrame, keys: list[str], text: str = "text", least: int = LEAST) -> DataFrame:
+def look_alike_classes(df: DataFrame, keys: list[str], text: str = "text", least: int = LEAST, within: str | None = None) -> DataFrame:
     """(keys, class_id, form, raw): the rows whose text looks the same as some other, different text of the table.
 
     class_id: hash of the class's canonical text; form: the canonical member, the least of its texts as mapped; raw: hash of the text as
     delivered. Equal texts are combined before the comparison and all come back with their class. Null texts and those of
-    fewer than ``least`` code points as delivered take no part. Repeated rows count once.
+    fewer than ``least`` code points as delivered take no part. Repeated rows count once. ``within``: one of the keys, such as the
+    name of a table; only texts that are equal in it are compared.
     """
+    part = [F.col(within)] if within else []
     rows = df.select(*keys, F.col(text).alias("__text")).filter(F.length("__text") >= least)
     rows = spread(rows)
     # one pass over the texts for their hashes, written once, so that the mapping isn't worked out again for each use
-    hashed = cut(rows.select(*keys, rough(F.col("__text")).alias("__rough"), F.xxhash64("__text").alias("raw")).distinct())
+    hashed = cut(rows.select(*keys, F.xxhash64(*part, rough(F.col("__text"))).alias("__rough"), F.xxhash64(*part, "__text").alias("raw")).distinct())
     several = hashed.groupBy("__rough").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).filter("a <> b").select("__rough")
     wanted = cut(hashed.join(several, "__rough", "left_semi").select(*keys, "raw"))
     near = maybe_in(rows, F.xxhash64(*keys), wanted.select(F.xxhash64(*keys).alias("__key")), "__key").join(wanted, keys).dropDuplicates(keys)
-    texts = near.groupBy("raw").agg(F.max("__text").alias("__text")).withColumn("__value", F.collate(mapped(F.col("__text")), "UNICODE"))
-    chosen = texts.groupBy("__value").agg(F.min(F.collate("__value", "UTF8_BINARY")).alias("form"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    back = texts.join(chosen, "__value").select("raw", "__text", "form")
+    own = [F.max(within).alias("__part")] if within else [F.lit(0).alias("__part")]
+    texts = near.groupBy("raw").agg(F.max("__text").alias("__text"), *own).withColumn("__value", F.collate(mapped(F.col("__text")), "UNICODE"))
+    chosen = texts.groupBy("__part", "__value").agg(F.min(F.collate("__value", "UTF8_BINARY")).alias("form"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    back = texts.join(chosen, ["__part", "__value"]).select("raw", "__text", "form")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -67,14 +67,22 @@ def p5_weights(spark: SparkSession, d: str) -> DataFrame:
     return weighed.groupBy("chunk_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 4).alias("most"))
 
 
-def _look_alike(rows: DataFrame, name: str, key: str) -> DataFrame:
-    found = cut(canon.look_alike_classes(rows, [key]).select("class_id", "raw", F.col(key).alias("k")))
-    return found.alias("x").join(found.alias("y"), "class_id").filter("x.k < y.k AND x.raw <> y.raw").select(F.lit(name).alias("table_name"), F.col("x.k").cast("string").alias("key_a"), F.col("y.k").cast("string").alias("key_b"))
+def _look_alike(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select(F.lit("documents").alias("table_name"), F.col("doc_id").cast("string").alias("k"), "text")
+    chunks = table(spark, d, "chunks").filter("strategy = 'structured'").select(F.lit("chunks").alias("table_name"), F.col("chunk_id").alias("k"), "text")
+    return canon.look_alike_classes(documents.unionByName(chunks), ["table_name", "k"], within="table_name")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    documents = _look_alike(table(spark, d, "documents"), "documents", "doc_id")
-    return documents.unionByName(_look_alike(table(spark, d, "chunks").filter("strategy = 'structured'"), "chunks", "chunk_id"))
+    found = cut(_look_alike(spark, d).select("table_name", "class_id", "raw", "k", F.expr("try_cast(k AS bigint)").alias("n")))
+    pairs = found.alias("x").join(found.alias("y"), ["table_name", "class_id"]).filter("x.raw <> y.raw")
+    pairs = pairs.filter("CASE WHEN table_name = 'documents' THEN x.n < y.n ELSE x.k < y.k END")
+    return pairs.select("table_name", F.col("x.k").alias("key_a"), F.col("y.k").alias("key_b"))
+
+
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    """(table_name, key, class_id): a row for each text that looks the same as another, different one; copies are not multiplied out."""
+    return _look_alike(spark, d).select("table_name", F.col("k").alias("key"), "class_id")
 
 
 def p7_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +94,10 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(table(spark, d, "documents"), "doc_id")
 
 
+def p8_reuse(spark: SparkSession, d: str) -> DataFrame:
+    return encode.chunk_reuse(table(spark, d, "documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -101,5 +113,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_balanced, p2_found, p2_ranking, p3_found, p4_found, p4_groups, p5_found, p5_weights, p7_found, p7_forms, p8_ids, p9_found, p10_found, p10_shares)
+    for f in (p1_found, p1_balanced, p2_found, p2_ranking, p3_found, p4_found, p4_groups, p5_found, p5_weights, p7_found, p7_classes, p7_forms, p8_ids, p8_reuse, p9_found, p10_found, p10_shares)
 }
