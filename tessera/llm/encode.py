@@ -3,8 +3,9 @@
 A rolling hash over the text's bytes proposes chunk ends, so that texts which share passages get equal chunks whatever
 precedes them. Each worker keeps the ids of the chunks it has met (a bounded memo) and encodes a chunk only once. Then the
 joins are repaired: around each join the last and first words of both sides are encoded again, over a window that is
-widened until its outer ends lie where the tokenizer must break whatever stands beyond; there the new ids agree with the
-chunks' own ids, and the middle replaces them.
+widened until its outer ends lie where the tokenizer must break whatever stands beyond. One more word on either side is encoded with it,
+and its ids must be those that the word has without the window, on the left also those that stand there; the middle
+replaces the join. Where they don't agree, the window is widened to the whole text.
 
 The tokenizer's splitting pattern takes white space only at the start of a pretoken, so there is always a break before white
 space that follows something else, and what stands on one side never changes the ids of the other. Such a break is *firm*.
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Chunk sizes in bytes: a chunk ends about every 2**BITS bytes, and has at least LEAST.
 BITS, LEAST, WINDOW = 9, 128, 16
+#: Characters within which the word beside a join is looked for.
+WORD = 64
 #: Chunks that a worker remembers.
 MEMO = 50_000
 
@@ -77,7 +81,7 @@ class Encoder:
     """Encodes texts one by one, with a memo of chunks."""
 
     def __init__(self, path: str, memo: int = MEMO):
-        self.encode, self.memo, self.size, self.reused = encoding(path).encode_ordinary, {}, memo, 0
+        self.encode, self.memo, self.size, self.reused, self.joins, self.widened = encoding(path).encode_ordinary, {}, memo, 0, 0, 0
 
     def chunk(self, piece: str) -> list[int]:
         ids = self.memo.get(piece)
@@ -89,12 +93,26 @@ class Encoder:
             self.reused += 1
         return ids
 
+    def join(self, text: str, out: list[int], a: int, b: int, floor: int, ceiling: int) -> list[int] | None:
+        """Ids of text[a:b], if those around it agree: of the word before a, back to ``floor``, and of that after b, up to ``ceiling``."""
+        before = max((m.start() for m in _FIRM.finditer(text, max(floor, a - WORD), a) if m.start() < a), default=a)
+        found = _FIRM.search(text, b + 1, min(ceiling, b + WORD))
+        after = found.start() if found else b
+        left, right = self.encode(text[before:a]), self.encode(text[b:after])
+        ids = self.encode(text[before:after])
+        self.joins += 1
+        end = len(ids) - len(right)
+        if ids[: len(left)] == left == out[len(out) - len(left) :] and ids[end:] == right:
+            return ids[len(left) : end]
+        self.widened += 1
+        return None
+
     def __call__(self, text: str | None) -> list[int]:
         """Ids of a text. A null and an empty text have no ids: []."""
         if not text:
             return []
         out: list[int] = []
-        start, tail = 0, 0  # tail: where the part of the text that isn't in out yet begins
+        start, tail, floor = 0, 0, 0  # tail: where the part of the text that isn't in out yet begins; floor: where the last chunk's core began
         for end in chunk_ends(text):
             piece = text[start:end]
             firm = _FIRM.search(piece)
@@ -116,12 +134,17 @@ class Encoder:
                         last = k
                         break
             if tail < start + head:
-                out += self.encode(text[tail : start + head])
+                if (ids := self.join(text, out, tail, start + head, floor, start + last)) is None:
+                    return self.encode(text)
+                out += ids
             if last > head:
                 out += self.chunk(piece[head:last])
+                floor = start + head
             tail, start = start + last, end
         if tail < len(text):
-            out += self.encode(text[tail:])
+            if (ids := self.join(text, out, tail, len(text), floor, len(text))) is None:
+                return self.encode(text)
+            out += ids
         return out
 
 
@@ -135,6 +158,30 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def chunk_reuse(df: DataFrame, text: str = "text") -> DataFrame:
+    """(chunks, distinct_chunks, bytes, distinct_bytes): how much of all chunks of the whole collection is encoded more than once.
+
+    What sharing chunks across workers could save at most, against moving every different chunk and its ids. Only 64-bit hashes are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes: list[int] = []
+            sizes: list[int] = []
+            for t in b.column(0).to_pylist():
+                ends = chunk_ends(t)
+                for lo, hi in zip([0, *ends], ends):
+                    data = t[lo:hi].encode("utf-8", "surrogatepass")
+                    hashes.append(xxhash.xxh3_64_intdigest(data) >> 1)
+                    sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64())], names=["h", "n"])
+
+    own = df.filter(F.length(text) > 0).select(F.col(text).alias("__text")).mapInArrow(run, "h bigint, n bigint")
+    by = own.groupBy("h").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return by.agg(total(F.col("c")).alias("chunks"), F.count("*").alias("distinct_chunks"), total(F.col("c") * F.col("n")).alias("bytes"), total(F.col("n")).alias("distinct_bytes"))
+
+
 def token_ids(df: DataFrame, key: str, text: str = "text", tokenizer: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
     """(key, ids): each row's text as token ids, without special tokens.
 
