@@ -538,4 +538,4 @@ def xml_sections(s, d):
     safe = F.replace(F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x09\x0A\x20-퟿]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     body = F.concat(F.lit("<DIV5 N='1'><HEAD>Part</HEAD><DIV8 N='"), F.col("doc_id"), F.lit("'><HEAD>Head</HEAD><P>"), safe, F.lit("</P></DIV8></DIV5>"))
     source = table(s, d, "documents").select("title", "part", F.lit("").alias("url"), F.encode(body, "utf-8").alias("content"))
-    return xml.documents(source).select("doc_id", "section", "heading_path")
+    return xml.documents(source).select("doc_id", "section", "heading_path", F.md5("text").alias("text"))

@@ -99,7 +99,27 @@ _REWRITES = _RERANK + ", " + _QRELS + """, e AS (SELECT query_id, min(search_id)
  rw AS (SELECT e.query_id, x.c AS conf, y.c AS conf2, round(1 - abs(x.c - y.c), 6) AS sim, CASE WHEN x.c < 0.8 AND y.c >= 0.8 AND NOT k.answerable THEN 'HARMFUL' WHEN x.c < 0.8 AND y.c >= 0.8 AND y.g > 0 THEN 'rescued'
   WHEN y.g > x.g + 1e-9 THEN 'improved' ELSE 'no change' END AS verdict FROM e JOIN t x ON x.search_id = a JOIN t y ON y.search_id = b JOIN (SELECT query_id, max(grade) > 0 AS answerable FROM j GROUP BY ALL) k ON k.query_id = e.query_id)"""
 
+_WS = r"[\s\x{A0}\x{2002}\x{2007}\x{2009}\x{202F}\x{85}]"
+_ANY_WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Paragraphs; packed where they fit (a group begins where the last one was too long or is full), else cut like fixed windows; then trimmed.
+_STRUCTURED = rf"""WITH RECURSIVE a AS (SELECT doc_id, string_split(text, E'\n\n') AS a FROM documents WHERE length(text) > 0), x AS (SELECT doc_id, a, unnest(range(len(a))) AS i FROM a),
+ y AS (SELECT doc_id, a[i + 1] AS p, coalesce(list_sum(list_transform(a[1:i], lambda z: length(z) + 2)), 0) AS pos FROM x),
+ z AS (SELECT doc_id, (pos + length(p) - length(ltrim(p, E'\n \t')))::BIGINT AS s, (pos + length(p) - length(ltrim(p, E'\n \t')) + length(trim(p, E'\n \t')))::BIGINT AS e FROM y WHERE length(trim(p, E'\n \t')) > 0),
+ par AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k FROM z),
+ g AS (SELECT doc_id, k, s, e, CASE WHEN e - s <= 1400 THEN s END AS gs FROM par WHERE k = 1
+  UNION ALL SELECT q.doc_id, q.k, q.s, q.e, CASE WHEN q.e - q.s > 1400 THEN NULL WHEN g.gs IS NULL OR q.e - g.gs > 1400 THEN q.s ELSE g.gs END FROM g JOIN par q ON q.doc_id = g.doc_id AND q.k = g.k + 1),
+ big AS (SELECT g.doc_id, g.s AS off, substring(d.text, g.s + 1, g.e - g.s) AS t, g.e - g.s AS n FROM g JOIN documents d USING (doc_id) WHERE gs IS NULL),
+ w AS (SELECT doc_id, off, t, n, 0::BIGINT AS s, 1400 - (CASE WHEN strpos(reverse(substring(t, 701, 700)), ' ') > 0 THEN strpos(reverse(substring(t, 701, 700)), ' ') ELSE 0 END) AS e FROM big
+  UNION ALL SELECT doc_id, off, t, n, e - 200, CASE WHEN e + 1200 < n AND strpos(reverse(substring(t, e + 501, 700)), ' ') > 0 THEN e + 1200 - strpos(reverse(substring(t, e + 501, 700)), ' ') ELSE least(e + 1200, n) END FROM w WHERE e < n),
+ spans AS (SELECT doc_id, gs AS s, max(e) AS e FROM g WHERE gs IS NOT NULL GROUP BY ALL UNION ALL SELECT doc_id, off + s, off + e FROM w WHERE e - s >= 120 OR s = 0
+  UNION ALL SELECT doc_id, 0, length(text) FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM par)),
+ b AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i, substring(text, s + 1, e - s) AS p FROM spans JOIN documents USING (doc_id)),
+ l AS (SELECT *, regexp_replace(p, '^{_WS}+', '') AS l FROM b), u AS (SELECT *, regexp_replace(l, '{_WS}+$', '') AS k FROM l),
+ chunked AS (SELECT doc_id, i::INT AS ordinal, (s + length(p) - length(l))::INT AS char_start, (s + length(p) - length(l) + length(k))::INT AS char_end FROM u WHERE length(k) >= 120 OR i = 0)"""
+
 SQL: dict[str, str] = {
+    "structured_chunks": f"{_STRUCTURED} SELECT * FROM chunked",
+    "contextual_chunks": f"{_STRUCTURED} SELECT chunked.*, CASE WHEN heading_path IS NOT NULL AND heading IS NOT NULL THEN {_CONTEXT} END AS context FROM chunked JOIN documents USING (doc_id)",
     "rewrite_verdict": f"WITH {_REWRITES} SELECT query_id, conf, conf2, verdict FROM rw",
     "guard_sweep": f"""WITH {_REWRITES} SELECT threshold::DOUBLE AS threshold, count(*) FILTER (verdict = 'HARMFUL' AND sim < threshold) AS blocked, count(*) FILTER (verdict IN ('rescued', 'improved') AND sim < threshold) AS lost,
  count(*) FILTER (verdict = 'HARMFUL' AND sim >= threshold) AS survivors FROM rw, (SELECT unnest([0.5, 0.6, 0.7, 0.75, 0.8]) AS threshold) GROUP BY threshold""",
@@ -196,7 +216,8 @@ SQL: dict[str, str] = {
  FROM (SELECT strategy, count(DISTINCT chunk_id) AS chunks FROM chunks GROUP BY ALL) c LEFT JOIN (SELECT strategy, count(DISTINCT chunk_id) AS vectors FROM vectors GROUP BY ALL) v USING (strategy)""",
     "missing_parents": "SELECT DISTINCT doc_id FROM doc_snapshots WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "citation_extract": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND citation IS NOT NULL THEN citation ELSE title || ' CFR ' || section END AS citation FROM documents",
-    "xml_sections": "SELECT 'ecfr:' || title || ':' || doc_id AS doc_id, doc_id::VARCHAR AS section, 'Title ' || title || ' > Part > Head' AS heading_path FROM documents WHERE coalesce(trim(text), '') <> ''",
+    "xml_sections": rf"""WITH x AS (SELECT doc_id, title, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x09\x0A\x20-\x{{D7FF}}]', '', 'g'), '[ \t\x{{A0}}]+', ' ', 'g'), '^{_ANY_WS}+|{_ANY_WS}+$', '', 'g') AS t FROM documents)
+ SELECT 'ecfr:' || title || ':' || doc_id AS doc_id, doc_id::VARCHAR AS section, 'Title ' || title || ' > Part > Head' AS heading_path, md5('Head' || chr(10) || chr(10) || regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g')) AS text FROM x WHERE t <> ''""",
     "fixed_chunks": r"""WITH RECURSIVE w AS (SELECT doc_id, text, length(text) AS n, 0::BIGINT AS i, 0::BIGINT AS s, least(1400, length(text)) AS hard FROM documents WHERE length(text) > 0),
  c AS (SELECT doc_id, text, n, i, s, CASE WHEN hard < n AND strpos(reverse(substring(text, s + 701, hard - s - 700)), ' ') > 0 THEN hard - strpos(reverse(substring(text, s + 701, hard - s - 700)), ' ') ELSE hard END AS e FROM w
   UNION ALL SELECT doc_id, text, n, i + (CASE WHEN e - s >= 120 OR i = 0 THEN 1 ELSE 0 END), t, CASE WHEN least(t + 1400, n) < n AND strpos(reverse(substring(text, t + 701, 700)), ' ') > 0 THEN t + 1400 - strpos(reverse(substring(text, t + 701, 700)), ' ') ELSE least(t + 1400, n) END
