@@ -19,19 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut
 
 #: Vectors that a leaf is laid out for, visitors included, and that a leaf of one crowded topic may hold.
-CELL, DENSE = 8_192, 131_072
+CELL, DENSE = 16_384, 131_072
+#: The part of it that a leaf's own vectors may take up.
+FILL = 0.55
 #: Trees of the forest; leaves that a vector visits from the queue.
 TREES, PROBES = 2, 1
 #: Sample rows: a leaf at least, for all leaves together at least, and at once on the driver at most.
 LEAF_ROWS, LEAST_ROWS, FIT_ROWS = 128, 20_000, 131_072
+#: Planes of which the best becomes a node's.
+TRIES = 32
 #: Half-width of the margin in standard deviations of a close pair's projected difference.
-MARGIN = 1.0
+MARGIN = 0.6
 #: Bytes of planes that are broadcast at most; with more vectors than these can part, leaves are laid out larger.
 PLANES = 1 << 30
 
@@ -98,7 +103,7 @@ class Tree:
 def _plane(x: np.ndarray, margin: float, rng: np.random.Generator) -> tuple[np.ndarray, float] | None:
     """Of a few planes between two random rows' groups the one with the fewest rows in its margin, near the middle if it can be."""
     best = None
-    for _ in range(4):
+    for _ in range(TRIES):
         a, b = x[rng.choice(len(x), 2, replace=False)]
         for _ in range(3):
             w = a - b
@@ -132,13 +137,13 @@ def grow(x: np.ndarray, total: float, cell: int, least: float, margin: float, se
     while stack:
         rows, parent, side = stack.pop()
         size = len(rows) * total / max(len(x), 1)
-        own = x[rows if len(rows) <= 4096 else rows[:: -(-len(rows) // 4096)]]
+        own = x[rows if len(rows) <= 2048 else rows[:: -(-len(rows) // 2048)]]
         plane = None
-        if size > 0.6 * cell and len(rows) >= 8:
+        if size > FILL * cell and len(rows) >= 8:
             some = own[:256]
             crowded = size <= dense and np.mean(some @ some.T >= 2 * least - 1) > 0.5
             plane = None if crowded else _plane(own, margin, rng)
-            if plane and len(rows) < LEAF_ROWS and size > cell:
+            if plane and len(rows) < LEAF_ROWS and size > cell and len(x) < total:
                 open_.append(leaves)
                 plane = None
         if plane is None:
@@ -293,11 +298,11 @@ def nearest(
     units = given.mapInArrow(unit, f"g string, id {given.schema['id'].dataType.simpleString()}, x binary")
     units = units.withColumn("h", F.xxhash64("g", "x"))
     n = vectors.count()  # of parquet, from the footers alone
-    cell = max(cell, int(n * trees * (4 * dim + 24) / (0.4 * PLANES)))
-    share = min(1.0, max(LEAF_ROWS / (0.6 * cell), LEAST_ROWS / max(n, 1)))
+    cell = max(cell, int(n * trees * (4 * dim + 24) / (FILL * PLANES)))
+    share = min(1.0, max(LEAF_ROWS / (FILL * cell), LEAST_ROWS / max(n, 1)))
     sampled = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < int(share * (1 << 30))
     known = cut(units.select("g", "id", "h", F.when(sampled, F.col("x")).alias("x")))
-    totals = {r["g"]: r["n"] for r in known.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > 0.6 * cell).collect()}  # at most n / cell groups
+    totals = {r["g"]: r["n"] for r in known.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > FILL * cell).collect()}  # at most n / cell groups
     chord = float(np.sqrt(max(2 - 2 * least, 0)))
     width = margin * chord / float(np.sqrt(dim))
     forests = _forests(known.filter("x IS NOT NULL").select("g", "x"), totals, dim, cell, least, width, trees, dense, fit_rows)
@@ -320,12 +325,14 @@ def nearest(
                     r, t, leaf, home = route(planes.value[g], x[own], width, probes)
                 else:
                     r, t, leaf, home = np.arange(len(own)), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.ones(len(own), bool)
-                parts.append((own[r], t << 40 | leaf, home))
+                # a leaf's number holds its group, tree and place; as a hash it is as short as can be in the largest exchange
+                named = (leaf.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + t.astype(np.uint64)) * np.uint64(0xD1B54A32D192ED03)
+                parts.append((own[r], (named ^ np.uint64(xxhash.xxh3_64_intdigest(g))).view(np.int64), home))
             if not parts:
                 continue
             rows, leaf, home = (np.concatenate(p) for p in zip(*parts))
             taken = b.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(leaf), pa.array(home), taken.column(1), taken.column(2)], names=["g", "leaf", "home", "h", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(home), taken.column(1), taken.column(2)], names=["leaf", "home", "h", "x"])
 
     def within(t: pa.Table) -> pa.Table:
         h, home = t.column("h").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
@@ -335,7 +342,7 @@ def nearest(
         a, b, s = search(np.ascontiguousarray(x[first]), home[first], k, least)
         return pa.table({"ha": h[first][a], "hb": h[first][b], "cosine": s})
 
-    edges = nodes.mapInArrow(spread, "g string, leaf bigint, home boolean, h bigint, x binary").groupBy("g", "leaf").applyInArrow(within, "ha bigint, hb bigint, cosine double")
+    edges = nodes.mapInArrow(spread, "leaf bigint, home boolean, h bigint, x binary").groupBy("leaf").applyInArrow(within, "ha bigint, hb bigint, cosine double")
     edges = edges.dropDuplicates(["ha", "hb"])
     edges = edges.withColumn("r", F.row_number().over(Window.partitionBy("ha").orderBy(F.desc("cosine"), "hb"))).filter(f"r <= {k}").drop("r")
     # equal vectors: the first k + 1 ids of each; Spark cuts the ranks within each task before it shuffles
