@@ -30,6 +30,8 @@ from tessera.session import cut, spread
 BANDS, ROWS, RADIUS = 32, 4, 23
 #: Fingerprints of a shard that one task takes at most; beyond, it is cut into blocks.
 HOT = 20_000
+#: Different texts of one fingerprint that one task joins at most.
+PER_TASK = 1_000
 LEAF = 32
 
 _rng = np.random.default_rng(20240901)
@@ -221,7 +223,7 @@ def _candidates(prints: DataFrame, radius: int, hot: int) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, item: str = "chunk_id", group: str = "strategy", text: str = "text", gram: int = 5, threshold: float = 0.8, least: int = 1, radius: int = RADIUS, hot: int = HOT
+    df: DataFrame, item: str = "chunk_id", group: str = "strategy", text: str = "text", gram: int = 5, threshold: float = 0.8, least: int = 1, radius: int = RADIUS, hot: int = HOT, per_task: int = PER_TASK
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables: members (g, t, id), and links (g, ta, tb, similarity), ta < tb, between different texts.
 
@@ -234,11 +236,21 @@ def near_duplicates(
     rows = df.filter(F.col(item).isNotNull() & F.col(group).isNotNull() & F.col(text).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(text).alias("text"), F.col(item).alias("id"))
     index = cut(fingerprints(rows, gram, least))
     classes = cut(index.groupBy("g", "f", "t").agg(F.min("id").alias("id")))
-    alike = classes.groupBy("g", "f").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("f").alias("fa"), F.col("f").alias("fb"))
-    pairs = _candidates(index.select("g", "f", "bands").distinct(), radius, hot).unionByName(alike.distinct())
-    a = classes.select("g", F.col("f").alias("fa"), F.col("t").alias("ta"), F.col("id").alias("ida"))
-    b = classes.select("g", F.col("f").alias("fb"), F.col("t").alias("tb"), F.col("id").alias("idb"))
-    compared = cut(pairs.join(a, "fa").join(b, ["g", "fb"]).filter("fa <> fb OR ta < tb").filter("ta <> tb").select("g", "ta", "tb", "ida", "idb"))
+    alike = cut(classes.groupBy("g", "f").agg(F.count("*").alias("n")).filter("n > 1"))
+    pairs = _candidates(index.select("g", "f", "bands").distinct(), radius, hot).unionByName(alike.select(F.col("f").alias("fa"), F.col("f").alias("fb")).distinct())
+    # a fingerprint that very many different texts have: one side of its join is dealt out in parts, the other goes to every part
+    many = alike.filter(F.col("n") > per_task).select("g", "f", F.ceil(F.col("n") / per_task).alias("parts"))
+    dealt = classes.withColumn("parts", F.lit(1)) if many.isEmpty() else classes.join(many, ["g", "f"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))
+    a = dealt.select("g", F.col("f").alias("fa"), F.col("t").alias("ta"), F.col("id").alias("ida"))
+    b = dealt.select("g", F.col("f").alias("fb"), F.col("t").alias("tb"), F.col("id").alias("idb"), F.pmod(F.xxhash64("t"), F.col("parts")).alias("part"))
+    sides = pairs.join(a, "fa")
+    if not many.isEmpty():
+        wide = many.select("g", F.col("f").alias("fb"), "parts")
+        sides = sides.join(wide, ["g", "fb"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", every).drop("parts")
+    else:
+        sides = sides.withColumn("part", F.lit(0).cast("bigint"))
+    compared = cut(sides.join(b, ["g", "fb", "part"]).filter("fa <> fb OR ta < tb").filter("ta <> tb").select("g", "ta", "tb", "ida", "idb"))
     needed = compared.select(F.explode(F.array("ida", "idb")).alias("id")).distinct()
     texts = maybe_in(rows, F.col("id"), needed, "id").join(needed, "id").groupBy("g", "id").agg(F.max("text").alias("text"))
     both = compared.join(texts.withColumnsRenamed({"id": "ida", "text": "xa"}), ["g", "ida"]).join(texts.withColumnsRenamed({"id": "idb", "text": "xb"}), ["g", "idb"])

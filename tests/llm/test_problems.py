@@ -266,8 +266,8 @@ def test_p4(spark, data, chunks):
     assert rows(Q.p4_found(spark, data)) == want and want
 
 
-@pytest.mark.parametrize("hot", [neardup.HOT, 8])
-def test_hot_shards_and_groups(spark, hot):
+@pytest.mark.parametrize("hot,per_task", [(neardup.HOT, neardup.PER_TASK), (8, 3)])
+def test_hot_shards_and_groups(spark, hot, per_task):
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(200)]
     made = []
@@ -276,15 +276,16 @@ def test_hot_shards_and_groups(spark, hot):
         for k in rng.integers(0, 200, i % 6):
             w[k] = f"e{i}"
         made.append((f"a{i:02}", "s", " ".join(w)))
+    made += [(f"b{i:02}", "s", " ".join([*base, f"day{i}"])) for i in range(20)]  # many texts with one fingerprint
     made += [("copy", "s", made[0][2].upper()), ("other", "t", made[0][2]), ("null", "s", None), ("empty", "s", ""), ("few", "s", "one two"), (None, "s", made[0][2])]
     df = spark.createDataFrame([(*r, 1, "t") for r in made + made[:3]], "chunk_id string, strategy string, text string, f int, t string")
-    members, links = neardup.near_duplicates(df, gram=3, threshold=0.8, hot=hot)
+    members, links = neardup.near_duplicates(df, gram=3, threshold=0.8, hot=hot, per_task=per_task)
     sets = {c: (g, shingles(t, 3)) for c, g, t in made if c and t and len(words(t)) > 2}
     want = {(a, b) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) >= 0.8 * len(sets[a][1] | sets[b][1])}
     assert rows(neardup.expanded(members, links)) == want
     got = {r.id: r for r in neardup.groups(members, links).collect()}
     assert set(got) == set(sets) and got["copy"].class_id == got["a00"].class_id
-    assert len({got[c].group_id for c in got if c.startswith("a")}) == 1
+    assert len({got[c].group_id for c in got if c[0] in "ab"}) == 1
     assert neardup.near_duplicates(df.limit(0))[1].count() == 0
 
 
