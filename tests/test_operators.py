@@ -363,3 +363,132 @@ def test_jsonl_and_exports(spark, data, tmp_path):
     vectors = vectors.filter("vec IS NOT NULL")
     files.export_static(chunks.join(vectors, "chunk_id", "left_semi"), vectors, docs, str(tmp_path / "x"))
     assert spark.read.parquet(str(tmp_path / "x/vectors")).count() == vectors.select("chunk_id").distinct().count()
+
+
+# --- hot groups, hot values, compressed bitmaps
+
+
+@pytest.mark.parametrize("hot", [10, 10**9])
+def test_ranks_with_one_hot_value_and_null_groups(spark, hot):
+    """Nine in ten rows share one value; some rows have no group."""
+    rows = [("g", i, 1.0 if i % 10 else float(i)) for i in range(300)] + [(None, i, float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, i int, v double")
+    tied = {(r.g, r.i): r.r for r in ranking.rank_in_groups(df, ["g"], "v", "r", hot_rows=hot).collect()}
+    numbered = {(r.g, r.i): r.r for r in ranking.rank_in_groups(df, ["g"], "v", "r", ties=["i"], hot_rows=hot).collect()}
+    for g in ("g", None):
+        own = [(i, v) for x, i, v in rows if x == g]
+        order = sorted(own, key=lambda t: (-t[1], t[0]))
+        assert all(tied[g, i] == 1 + sum(w > v for _, w in own) for i, v in own)
+        assert all(numbered[g, i] == 1 + order.index((i, v)) for i, v in own)
+    assert len(tied) == len(numbered) == 330
+
+
+@pytest.mark.parametrize("hot", [5, 10**9])
+def test_running_total(spark, hot):
+    rows = [("g", i, 1 + i % 3) for i in range(100)] + [("h", 7, 5)]
+    df = spark.createDataFrame(rows, "g string, i int, n int")
+    got = {(r.g, r.i): r.t for r in ranking.running_total(df, ["g"], [F.col("i")], F.col("n"), "t", hot_rows=hot).collect()}
+    assert got == {("g", i): sum(1 + j % 3 for j in range(i)) for i in range(100)} | {("h", 7): 0}
+    assert ranking.running_total(df.limit(0), ["g"], [F.col("i")], F.col("n"), "t").count() == 0
+
+
+def test_percentile_of_one_common_value(spark):
+    """A value that very many rows share is one row with its count."""
+    df = spark.range(200_000).select(F.lit("a").alias("g"), F.when(F.col("id") < 199_000, 2.0).otherwise(F.col("id").cast("double")).alias("v")).union(spark.createDataFrame([("a", None)], "g string, v double"))
+    assert [tuple(r) for r in evaluation.percentile(df, ["g"], "v", 0.95, "p").collect()] == [("a", 2.0)]
+    assert [tuple(r) for r in evaluation.percentile(df, ["g"], "v", 1.0, "p").collect()] == [("a", 199_999.0)]
+
+
+def test_bits_of_the_filter(spark):
+    assert filters.bits_for(0) == 1 << 16 and filters.bits_for(1 << 20) == 1 << 24 and filters.bits_for(10**8) == filters.MOST_BITS and filters.bits_for(10**9) == 0
+    df = spark.createDataFrame([(None,), ("a",), ("b",)], "k string")
+    assert filters.maybe_in(df, F.col("k"), df, "k", most=1).count() == 2  # more keys than the filter could tell apart: nothing but nulls is dropped
+
+
+@pytest.mark.parametrize("a,b", [(range(0, 100), range(50, 150)), (range(0, 30_000), range(5, 9)), (range(0, 20_000, 2), range(0, 30_000, 3)), ((), (1,)), ((), ())])
+def test_bitmaps(a, b):
+    import numpy as np
+
+    x, y = (snapshots.Bitmap.of(np.array(list(v), np.int64)) for v in (a, b))
+    assert x.members().tolist() == sorted(a) and y.members().tolist() == sorted(b)
+    assert x.and_not(y).tolist() == sorted(set(a) - set(b)) and y.and_not(x).tolist() == sorted(set(b) - set(a)) and x.and_(y).tolist() == y.and_(x).tolist() == sorted(set(a) & set(b))
+
+
+def test_stored_ordinals_over_two_deliveries(spark, tmp_path):
+    """A second delivery keeps the first one's ordinals, and changes are those of a run that sees all at once."""
+    path = str(tmp_path / "ordinals")
+    first = [(1, k, f"t{k}") for k in (5, 6)]
+    second = [(2, k, f"t{k}" if k != 6 else "new") for k in (1, 6, 9)]
+    before = {r.doc_id: r.ordinal for r in snapshots.stored_ordinals(snap(spark, first), "doc_id", path).collect()}
+    whole = snap(spark, first + second)
+    kept = snapshots.stored_ordinals(whole, "doc_id", path)
+    after = {r.doc_id: r.ordinal for r in kept.collect()}
+    assert all(after[k] == n for k, n in before.items()) and sorted(after.values()) == [0, 1, 2, 3]
+    want = {(2, 5, "removed"), (2, 6, "changed"), (2, 1, "added"), (2, 9, "added")}
+    assert {tuple(r) for r in snapshots.snapshot_changes(whole, known=kept).collect()} == want == {tuple(r) for r in snapshots.snapshot_changes(whole).collect()}
+
+
+def test_dense_keeps_ties_over_batches(spark):
+    """Equal vectors in many batches: the smallest ids are kept."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(100).select(F.col("id").alias("item"), F.array(*(F.lit(1.0) for _ in range(4))).alias("vec"))
+        q = spark.createDataFrame([("q", [1.0, 1.0, 1.0, 1.0])], "query_id string, vec array<double>")
+        assert [r.item for r in dense.dense_topk(q, df, k=5, dim=4).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+        assert dense.dense_topk(q.limit(0), df, dim=4).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_longest_common_run_against_difflib():
+    import difflib
+
+    rng = random.Random(11)
+    for _ in range(200):
+        source = "".join(rng.choice("ab ") for _ in range(rng.randrange(20, 200)))
+        k = rng.randrange(0, len(source) - 15)
+        quote = "".join(rng.choice("ab") for _ in range(rng.randrange(0, 6))) + source[k : k + rng.randrange(12, 40)] + "".join(rng.choice("ab") for _ in range(rng.randrange(0, 6)))
+        m = difflib.SequenceMatcher(None, source, quote, autojunk=False).find_longest_match(0, len(source), 0, len(quote))
+        least = max(quotes.LEAST, len(quote) // 2)
+        want = (m.a, m.b, m.size) if m.size >= least else (0, 0, 0)
+        assert quotes.longest_common(source, quote, least) == want
+
+
+def test_folded_places_point_at_the_source():
+    text = " \n ﬁne ½ “Quote” – İstanbul\t\tend \n"
+    own = quotes.Folded(text)
+    assert not own.text.startswith(" ") and not own.text.endswith(" ") and "  " not in own.text
+    for i, c in enumerate(own.text):
+        assert c in quotes._folded_one(text[own.at[i]]) or c == " " and text[own.at[i]].isspace()
+    assert quotes.Folded("").text == quotes.Folded("  \n").text == ""
+
+
+def test_cache_put_and_import(spark, tmp_path):
+    t = lambda n: dt.datetime(2025, 1, n)
+    new = spark.createDataFrame([(" What ", 1, t(1)), ("what", 2, t(3)), ("WHAT", 3, t(3)), (None, 4, t(9)), ("other", 5, t(1))], "query string, n int, at timestamp")
+    old = new.limit(1).select(serving.query_key(F.col("query")).alias("key"), "n", F.lit(t(2)).alias("at"))
+    assert sorted(r.n for r in serving.cache_put(old, new, ["n"], "at", "n").collect()) == [3, 5]
+    (tmp_path / "q.jsonl").write_text('{"query_id": "q", "doc_id": 1, "grade": 2, "judged_at": "2025-01-02T00:00:00", "judged_by": "llm"}\n\n')
+    had = spark.createDataFrame([("q", 1, 3, "human", t(1)), ("q", 2, 0, "llm", t(1))], "query_id string, doc_id bigint, grade int, judged_by string, judged_at timestamp_ntz")
+    assert {(r.doc_id, r.grade) for r in files.import_qrels(spark, str(tmp_path / "q.jsonl"), had).collect()} == {(1, 3), (2, 0)}
+
+
+def test_checkpoints_need_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn", setCheckpointDir=lambda d: pytest.fail("no folder was named"))
+    frame = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
+    with pytest.raises(ValueError):
+        session.cut(frame)
+
+
+def test_plain_bm25_with_repeated_rows(spark):
+    """Repeats of a row count once; so they do not change any score."""
+    c = spark.createDataFrame([("a", "structured", "alpha beta beta"), ("b", "structured", "beta gamma"), ("n", "structured", None), ("e", "structured", "")], "chunk_id string, strategy string, text string")
+    q = spark.createDataFrame([("q", "Beta alpha"), ("none", None), ("other", "zeta")], "query_id string, query string")
+    once = [tuple(r) for r in lexical.bm25_plain(c, q).orderBy("rank").collect()]
+    assert [r[1] for r in once] == ["a", "b"]
+    assert [tuple(r) for r in lexical.bm25_plain(c.union(c).union(c), q).orderBy("rank").collect()] == once
+    assert lexical.bm25_plain(c.limit(0), q).count() == lexical.bm25_plain(c, q.limit(0)).count() == 0
