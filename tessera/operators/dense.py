@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,26 +32,29 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.greatest(norm(a), F.lit(1e-12)) * F.greatest(norm(b), F.lit(1e-12)))
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_id: str = "query_id", item: str = "item", vec: str = "vec", dim: int = 64) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_id: str = "query_id", item: str = "item", vec: str = "vec", dim: int = 64, within: str | None = None) -> DataFrame:
     """(query_id, item, score, rank): the exact best k by cosine, rounded to 6 places, equal scores by item.
 
+    ``within``: a string column of both tables, such as the model's name; only items that have the query's value are looked at.
+
     Queries are taken in blocks of BLOCK; each block goes over the collection once as a matrix product, and every task keeps only its own best
     k of each query before the shuffle. Null vectors, vectors of another length and zero vectors take no part.
     """
     spark = vectors.sparkSession
-    rows = vectors.filter(F.size(vec) == dim).select(item, vec)
+    part = F.col(within) if within else F.lit("")
+    rows = vectors.filter((F.size(vec) == dim) & part.isNotNull()).select(item, vec, part.alias("__part"))
     kinds = [queries.schema[query_id].dataType, vectors.schema[item].dataType]
     schema = f"`{query_id}` {kinds[0].simpleString()}, `{item}` {kinds[1].simpleString()}, score double"
     types = [to_arrow_type(k) for k in kinds]
     parts: list[DataFrame] = []
 
-    def scan_for(ids: list, own: list) -> None:
+    def scan_for(ids: list, own: list, parts_of: list) -> None:
         q = np.array(own, np.float64).reshape(-1, dim)
         size = np.linalg.norm(q, axis=1)
-        held = spark.sparkContext.broadcast(([i for i, s in zip(ids, size) if s > 0], q[size > 0] / size[size > 0][:, None]))  # BLOCK vectors at most
+        held = spark.sparkContext.broadcast(([i for i, s in zip(ids, size) if s > 0], q[size > 0] / size[size > 0][:, None], np.array(parts_of)[size > 0]))  # BLOCK vectors at most
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q = held.value
+            names, q, part_of = held.value
             row, name, score = np.zeros(0, np.int64), None, np.zeros(0)
             floor = np.full(len(names), -np.inf)
             for b in batches:
@@ -62,9 +65,11 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_id: st
                 if not len(names) or not len(items):
                     continue
                 s = np.round(q @ (x[ok] / size[ok][:, None]).T, 6)
+                if within:
+                    s[part_of[:, None] != np.array(b.column(2).to_pylist())[ok][None, :]] = -np.inf
                 # what is below the best k so far, or below this batch's own k-th, is out; ties stay until ids can decide
                 least = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, -k]) if s.shape[1] > k else floor
-                r, c = np.nonzero(s >= least[:, None])
+                r, c = np.nonzero((s >= least[:, None]) & (s > -2))
                 row, score = np.concatenate([row, r]), np.concatenate([score, s[r, c]])
                 name = items[c] if name is None else np.concatenate([name, items[c]])
                 order = np.lexsort((name, -score, row))
@@ -78,16 +83,14 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_id: st
 
         parts.append(rows.mapInArrow(scan, schema))
 
-    ids: list = []
-    own: list = []
-    for r in queries.filter(F.size(vec) == dim).select(query_id, vec).toLocalIterator():
-        ids.append(r[0])
-        own.append(r[1])
-        if len(ids) == BLOCK:
-            scan_for(ids, own)
-            ids, own = [], []
-    if ids or not parts:
-        scan_for(ids, own)
+    held: list[tuple] = []
+    for r in queries.filter((F.size(vec) == dim) & part.isNotNull()).select(query_id, vec, part).toLocalIterator():
+        held.append(tuple(r))
+        if len(held) == BLOCK:
+            scan_for(*map(list, zip(*held)))
+            held = []
+    if held or not parts:
+        scan_for(*(map(list, zip(*held)) if held else ([], [], [])))
     found = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), item)
     return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -105,6 +108,22 @@ def pending_vectors(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFr
     return chunks.select("chunk_id").distinct().join(vectors.filter(F.col("model") == model), "chunk_id", "left_anti")
 
 
+def embed_pending(chunks: DataFrame, vectors: DataFrame, model: str, embed: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """(chunk_id, strategy, model, dim, vec) of the chunks that have no vector of the model yet, ready to be appended; a second run finds nothing to do.
+
+    ``embed`` makes a vector of a text column: built-in functions, or any pandas function that calls a model batch by batch. Of a repeated
+    chunk_id the greatest text counts; only pending chunks are embedded.
+    """
+    due = chunks.join(pending_vectors(chunks, vectors, model), "chunk_id", "left_semi").groupBy("chunk_id", "strategy").agg(F.max(text).alias("__text"))
+    made = due.select("chunk_id", "strategy", F.lit(model).alias("model"), embed(F.col("__text")).alias("vec"))
+    return made.select("chunk_id", "strategy", "model", F.size("vec").alias("dim"), "vec")
+
+
+def faithfulness(a: Column, b: Column) -> Column:
+    """How close a rewritten query's vector stays to the first one's: their cosine. Vectors need not be normalised."""
+    return dot(normalize(a), normalize(b))
+
+
 def hashing_embedder(text: Column, dim: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: signed counts of word hashes, by built-in functions."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+")

@@ -34,6 +34,12 @@ def combined(rankings: list[DataFrame], by: str, item: str = "chunk_id", k: int
     return rank_in_groups(own, [by], "score", "rank", ties=[item])
 
 
+def describe(strategy: Column, lexical: Column, dense: Column, reranked: Column) -> Column:
+    """A configuration in words: strategy, retriever and whether it reranks."""
+    by = F.when(lexical & dense, "hybrid(rrf)").when(lexical, "bm25").when(dense, "dense").otherwise("none")
+    return F.concat(strategy, F.lit(" / "), by, F.lit(" / rerank="), reranked.cast("string"))
+
+
 def distinct_hits(hits: DataFrame) -> DataFrame:
     """Exact repeats of hits removed."""
     return hits.distinct()

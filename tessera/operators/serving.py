@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import running_total
+
 DAILY, CACHE_COSINE, MOST_K = 500, 0.97, 20
 #: Tokens and refill a second of the search and of the far dearer answer requests.
 CAPACITY, REFILL = 60.0, 1.0
@@ -31,6 +33,16 @@ def daily_budget(calls: DataFrame, limit: int = DAILY, ts: str = "ts", key: str
     return days.select("day", F.least("n", F.lit(limit)).alias("used"), F.greatest(F.lit(limit) - F.col("n"), F.lit(0)).alias("remaining"), F.greatest(F.col("n") - limit, F.lit(0)).alias("refused"))
 
 
+def admitted(calls: DataFrame, limit: int = DAILY, ts: str = "ts", key: str = "event_id") -> DataFrame:
+    """(key, day, allowed): each call in time order against its UTC day's budget; equal times by key. Calls without a time are left out.
+
+    A day may hold most calls; its order is then worked out in ranges.
+    """
+    rows = calls.filter(F.col(ts).isNotNull()).select(key, ts, F.to_date(ts).alias("day"))
+    before = running_total(rows, ["day"], [F.col(ts), F.col(key)], F.lit(1), "__before")
+    return before.select(key, "day", (F.col("__before") < limit).alias("allowed"))
+
+
 def prompts(hits: DataFrame, by: str = "query_id") -> DataFrame:
     """(by, prompt) from hydrated hits with ``rank`` and ``query``: numbered sources, then the question. Hits are a shortlist."""
     source = F.concat(F.lit("["), F.col("rank"), F.lit("] "), F.coalesce("citation", F.lit("")), F.lit(" - "), F.coalesce("heading", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))

@@ -51,8 +51,9 @@ def _fiftieth(c):
 
 @query
 def dense_topk(s, d):
-    v = table(s, d, "vectors").filter("strategy = 'structured' AND model = 'hv64-b'").dropDuplicates(["chunk_id"])
-    return dense.dense_topk(v.filter(_fiftieth(F.col("chunk_id"))).withColumnRenamed("chunk_id", "query_id"), v, item="chunk_id")
+    """Every vector of a document whose id is divisible by 50, against all vectors of its strategy and model."""
+    v = table(s, d, "vectors").dropDuplicates(["chunk_id"]).withColumn("index", F.concat_ws("/", "strategy", "model"))
+    return dense.dense_topk(v.filter(_fiftieth(F.col("chunk_id"))).withColumnRenamed("chunk_id", "query_id"), v, item="chunk_id", within="index")
 
 
 @query
@@ -103,6 +104,20 @@ def pending_vectors(s, d):
     return dense.pending_vectors(table(s, d, "chunks"), table(s, d, "vectors"), "hv64-b")
 
 
+@query
+def embed_pending(s, d):
+    made = dense.embed_pending(table(s, d, "chunks"), table(s, d, "vectors"), "hv64-b", dense.hashing_embedder)
+    return made.select("chunk_id", "strategy", "model", "dim")
+
+
+@query
+def rewrite_faithfulness(s, d):
+    """Each embedding and the next one, as if that were of its rewritten query."""
+    v = table(s, d, "embeddings")
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return v.join(after, "vec_id").select("vec_id", F.round(dense.faithfulness(F.col("embedding"), F.col("next")), 5).alias("faithfulness"))
+
+
 # --- fusion, rerank, gate
 
 
@@ -375,7 +390,8 @@ def offset_audit(s, d):
 
 
 def _quoted(s, d):
-    chunks = table(s, d, "chunks").filter("strategy = 'structured'").dropDuplicates(["chunk_id"])
+    """Every chunk's whole text as a quote of its document."""
+    chunks = table(s, d, "chunks").dropDuplicates(["chunk_id"])
     return chunks.select("chunk_id", "doc_id", F.col("text").alias("quote")).join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
 
 
@@ -439,6 +455,18 @@ def daily_budget(s, d):
     return serving.daily_budget(table(s, d, "events"), limit=300).withColumn("day", F.col("day").cast("string"))
 
 
+@query
+def budget_calls(s, d):
+    return serving.admitted(table(s, d, "events"), limit=300).withColumn("day", F.col("day").cast("string"))
+
+
+@query
+def config_labels(s, d):
+    flag = lambda n: (F.floor(F.col("i") / n) % 2 == 1)
+    grid = table(s, d, "chunks").select("strategy").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return grid.select("strategy", "i", fusion.describe(F.col("strategy"), flag(1), flag(2), flag(4)).alias("label"))
+
+
 @query
 def token_bucket(s, d):
     got = serving.token_bucket(table(s, d, "events"), capacity=2.0, refill=1 / 86400)

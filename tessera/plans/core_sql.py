@@ -69,7 +69,6 @@ def _dense(queries: str, items: str, item: str, k: int = 10) -> str:
  (SELECT q.id AS query_id, x.id AS {item}, round(list_cosine_similarity(q.v, x.v), 6) AS score FROM {queries} q, {items} x)) WHERE rank <= {k})"""
 
 
-_VEC = "v AS (SELECT DISTINCT chunk_id AS id, vec::DOUBLE[] AS v FROM vectors WHERE strategy = 'structured' AND model = 'hv64-b' AND len(vec) = 64 AND list_max(list_transform(vec, lambda x: abs(x))) > 0)"
 _EMB = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
 _RRF = """SELECT search_id, chunk_id, score, row_number() OVER (PARTITION BY search_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT search_id, chunk_id, round(sum(part), 9) AS score FROM
  (SELECT DISTINCT search_id, chunk_id, {w} / (60 + lexical_rank) AS part, 1 AS l FROM hits WHERE lexical_rank IS NOT NULL UNION ALL SELECT DISTINCT search_id, chunk_id, 1.0 / (60 + dense_rank), 2 FROM hits WHERE dense_rank IS NOT NULL) GROUP BY ALL)"""
@@ -131,7 +130,13 @@ SQL: dict[str, str] = {
  tf AS (SELECT term, chunk_id, count(*) AS tf, max(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM c) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
  sc AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN tf USING (term) JOIN df USING (term), corpus GROUP BY ALL)
  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc) WHERE rank <= 10""",
-    "dense_topk": f"WITH {_VEC} SELECT * FROM {_dense("(SELECT * FROM v WHERE split_part(id, '#', 1)::BIGINT % 50 = 0)", 'v', 'chunk_id')}",
+    "dense_topk": """WITH v AS (SELECT DISTINCT chunk_id AS id, strategy, model, vec::DOUBLE[] AS v FROM vectors WHERE len(vec) = 64 AND list_max(list_transform(vec, lambda x: abs(x))) > 0)
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.id AS query_id, x.id AS chunk_id, round(list_cosine_similarity(q.v, x.v), 6) AS score
+ FROM v q JOIN v x USING (strategy, model) WHERE split_part(q.id, '#', 1)::BIGINT % 50 = 0)) WHERE rank <= 10""",
+    "embed_pending": "SELECT DISTINCT chunk_id, strategy, 'hv64-b' AS model, 64 AS dim FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM vectors WHERE model = 'hv64-b')",
+    "rewrite_faithfulness": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS faithfulness FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    "budget_calls": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) <= 300 AS allowed FROM events WHERE ts IS NOT NULL",
+    "config_labels": """SELECT strategy, i::INT AS i, strategy || ' / ' || CASE WHEN i % 4 = 3 THEN 'hybrid(rrf)' WHEN i % 2 = 1 THEN 'bm25' WHEN i % 4 = 2 THEN 'dense' ELSE 'none' END || ' / rerank=' || (i >= 4) AS label FROM (SELECT DISTINCT strategy FROM chunks), range(8) t(i)""",
     "dense_topk_embeddings": f"WITH {_EMB} SELECT * FROM {_dense('(SELECT * FROM v WHERE id % 50 = 0)', 'v', 'vec_id')}",
     "normalize_vectors": """WITH v AS (SELECT DISTINCT chunk_id, vec::DOUBLE[] AS v FROM vectors WHERE vec IS NOT NULL), n AS (SELECT chunk_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v),
  u AS (SELECT *, list_transform(v, lambda x: x / greatest(norm, 1e-12)) AS u FROM n) SELECT chunk_id, round(norm, 5) AS norm, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 5) AS unit_norm, round(u[1], 5) AS first FROM u""",
@@ -180,7 +185,7 @@ SQL: dict[str, str] = {
  SELECT doc_id, 0 AS ordinal, l::INT AS char_start, (l + n)::INT AS char_end FROM t""",
     "offset_audit": r"""WITH c AS (SELECT DISTINCT chunk_id, doc_id, strategy, char_start, char_end, text FROM chunks)
  SELECT strategy, count(*) AS checked, count(*) FILTER (regexp_replace(substring(d.text, char_start + 1, char_end - char_start), '^\s+|\s+$', '', 'g') <> regexp_replace(c.text, '^\s+|\s+$', '', 'g')) AS bad FROM c JOIN documents d USING (doc_id) GROUP BY strategy""",
-    "exact_quote_match": f"""WITH c AS (SELECT DISTINCT chunk_id, doc_id, text AS q FROM chunks WHERE strategy = 'structured')
+    "exact_quote_match": f"""WITH c AS (SELECT DISTINCT chunk_id, doc_id, text AS q FROM chunks)
  SELECT chunk_id, length({_FOLD % 'q'}) >= 12 AND contains({_FOLD % 'd.text'}, {_FOLD % 'q'}) AS found FROM c JOIN documents d USING (doc_id)""",
     "verify_citations": f"WITH {_HYD} SELECT search_id AS query_id, count(*) FILTER (length({_FOLD % 'text'}) >= 12) AS verified, count(*) FILTER (length({_FOLD % 'text'}) < 12) + 1 AS dropped FROM hyd GROUP BY search_id",
     "prompt_assembly": f"""WITH {_HYD} SELECT search_id, md5(string_agg('[' || rank || '] ' || coalesce(citation, '') || ' - ' || coalesce(heading, '') || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)
