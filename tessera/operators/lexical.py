@@ -16,8 +16,8 @@ from tessera.functions.stem import stem
 from tessera.session import cut, spread
 
 K1, B = 1.2, 0.75
-#: Different query terms that are broadcast to drop other tokens; terms that travel with one pass of the full-text search.
-BROADCAST_TERMS, PHRASES = 1_000_000, 200_000
+#: Different query terms that are listed in the plan, so that other tokens are dropped within their array; that are broadcast for it; terms that travel with one pass of the full-text search.
+LISTED_TERMS, BROADCAST_TERMS, PHRASES = 10_000, 1_000_000, 200_000
 # The token pattern and the stop words.
 TOKEN = r"[A-Za-z]+(?:'[A-Za-z]+)?|\d+(?:\.\d+)+|\d+"
 STOP = (
@@ -62,20 +62,24 @@ def bm25_plain(chunks: DataFrame, queries: DataFrame, k: int = 10, strategy: str
     Each different query term counts once. Queries without terms and chunks without text have no rows. Scores are rounded to 6 places and equal
     ones are ordered by chunk. Of a chunk_id with several texts the one with the greatest hash counts.
 
-    Texts are read and tokenised once and never shuffled: tokens that no query has are dropped where they arise, and counts alone move. What
-    is left, a row for each chunk and query term in it and one for each chunk's length, is written to the checkpoint folder.
+    Texts are read and tokenised once and never shuffled: of up to LISTED_TERMS query terms, other tokens are dropped where they arise, and only
+    what is left of a chunk moves (with more terms, all its tokens do). A row for each chunk and query term in it and one for each chunk's
+    length are written to the checkpoint folder.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("query")))).alias("term"))
-    known = asked.select("term").distinct().unionByName(chunks.sparkSession.createDataFrame([("",)], "term string"))  # "" stands for the chunk itself
-    if known.count() <= BROADCAST_TERMS:
-        known = F.broadcast(known)
+    terms = asked.select("term").distinct()
+    several = [r[0] for r in terms.limit(LISTED_TERMS + 1).collect()]
+    listed = ", ".join("'" + t.replace("'", "\\'") + "'" for t in several)  # letters, digits, stops and apostrophes only
+    own = F.expr("slice(t, 1, 0)" if not several else "t" if len(several) > LISTED_TERMS else f"filter(t, x -> x IN ({listed}))")
     rows = spread(chunks.filter(F.col("strategy") == strategy).select("chunk_id", "text")).select("chunk_id", F.xxhash64("text").alias("h"), tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    words = rows.select("chunk_id", "h", F.size("t").alias("dl"), F.explode(F.array_append("t", F.lit(""))).alias("term")).join(known, "term", "left_semi")
-    counted = cut(words.groupBy("chunk_id", "h", "dl", "term").agg(F.count("*").alias("n")))
-    one = Window.partitionBy("chunk_id").orderBy(F.desc("h"))
-    sizes = counted.filter("term = ''").withColumn("r", F.row_number().over(one)).filter("r = 1").select("chunk_id", "h", "dl", F.col("n").alias("copies"))
-    corpus = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = counted.filter("term <> ''").select("chunk_id", "h", "term", "n").join(sizes, ["chunk_id", "h"]).select("term", "chunk_id", "dl", (F.col("n") / F.col("copies")).alias("tf"))
+    one = rows.select("chunk_id", "h", F.struct(F.size("t").alias("dl"), own.alias("t")).alias("x")).groupBy("chunk_id").agg(F.max_by("x", "h").alias("x"))
+    words = one.select("chunk_id", "x.dl", F.explode(F.array_append("x.t", F.lit(""))).alias("term"))  # "" stands for the chunk itself
+    if len(several) > LISTED_TERMS:
+        known = terms.unionByName(chunks.sparkSession.createDataFrame([("",)], "term string"))
+        words = words.join(F.broadcast(known) if known.count() <= BROADCAST_TERMS else known, "term", "left_semi")
+    counted = cut(words.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")))
+    corpus = counted.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = counted.filter("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighed = tf.join(df, "term").crossJoin(F.broadcast(corpus)).select(  # one row
         "term", "chunk_id",

@@ -484,11 +484,15 @@ def test_checkpoints_need_a_shared_folder(monkeypatch):
         session.cut(frame)
 
 
-def test_plain_bm25_with_repeated_rows(spark):
+def test_plain_bm25_with_repeated_rows(spark, monkeypatch):
     """Repeats of a row count once; so they do not change any score."""
     c = spark.createDataFrame([("a", "structured", "alpha beta beta"), ("b", "structured", "beta gamma"), ("n", "structured", None), ("e", "structured", "")], "chunk_id string, strategy string, text string")
-    q = spark.createDataFrame([("q", "Beta alpha"), ("none", None), ("other", "zeta")], "query_id string, query string")
+    q = spark.createDataFrame([("q", "Beta alpha employer's"), ("none", None), ("other", "zeta")], "query_id string, query string")
     once = [tuple(r) for r in lexical.bm25_plain(c, q).orderBy("rank").collect()]
     assert [r[1] for r in once] == ["a", "b"]
     assert [tuple(r) for r in lexical.bm25_plain(c.union(c).union(c), q).orderBy("rank").collect()] == once
     assert lexical.bm25_plain(c.limit(0), q).count() == lexical.bm25_plain(c, q.limit(0)).count() == 0
+    monkeypatch.setattr(lexical, "LISTED_TERMS", 1)  # more terms than are listed
+    for most in (10, 0):
+        monkeypatch.setattr(lexical, "BROADCAST_TERMS", most)
+        assert [tuple(r) for r in lexical.bm25_plain(c.union(c), q).orderBy("rank").collect()] == once
