@@ -235,7 +235,9 @@ def _forests(sample: DataFrame, totals: dict[str, int], dim: int, cell: int, lea
     out: dict[str, list[Tree]] = {}
     for g, n in sorted(totals.items()):
         held = sample.filter(F.col("g") == g)
-        part = held.limit(fit_rows).toPandas()
+        rows = held.count()
+        some = held if rows <= fit_rows else held.filter(F.pmod(F.xxhash64("x"), F.lit(1 << 20)) < int(0.9 * fit_rows / rows * (1 << 20)))
+        part = some.limit(fit_rows).toPandas()
         x = np.frombuffer(b"".join(part.x), np.float32).reshape(-1, dim)
         forest = [grow(x, n, cell, least, margin, 100 + t, dense) for t in range(trees)]
         opened = [set(o) for _, o in forest]
@@ -250,7 +252,7 @@ def _forests(sample: DataFrame, totals: dict[str, int], dim: int, cell: int, lea
                         own = np.flatnonzero(np.isin(leaf, list(opened[t])))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t)), pa.array(leaf[own]), b.column(0).take(pa.array(own))], names=["tree", "leaf", "x"])
 
-            share = n / max(held.count(), 1)
+            share = n / max(rows, 1)
 
             def fitted(key: tuple, t: pa.Table) -> pa.Table:
                 y = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32).reshape(-1, dim)

@@ -84,6 +84,15 @@ def test_least_total_beats_the_chain():
         assert cost(text, split.cut(text, lookahead=1.0)) <= cost(text, split.cut(text)) + 1e-9
 
 
+def test_penalties_decide_the_cuts(monkeypatch):
+    """All cuts come from the dynamic programme's costs: without the penalties only the size decides."""
+    text = ("word " * 150 + "end. " + "\n\n") * 20
+    with_them = split.cut(text)
+    monkeypatch.setattr(split, "PENALTY", (0.0, 0.0, 0.0, 0.0))
+    without = split.cut(text)
+    assert with_them != without and all(text[e - 2 : e] == "\n\n" for _, e in with_them[:-1])
+
+
 # --- 2 fusion
 
 
