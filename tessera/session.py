@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,20 +30,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once into the checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a temporary folder is made on a local master, as in tests;
-    any other master raises, since executors don't share such a folder. Lost executors don't matter afterwards: the files
-    are in the shared folder. They are removed with their frame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
-    """
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended; its folder is left to whoever named it
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once, as a table in the checkpoint folder, and go on from there.
+
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a temporary folder is made on a local master, as in tests;
+    any other master raises, since executors don't share such a folder. Lost executors don't matter afterwards: the files are in the
+    shared folder. As a table its columns are compressed and read one by one, and its size is known, so that the planner
+    broadcasts only what is small. Tables are removed when the process ends.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
